@@ -1,0 +1,8 @@
+"""All checked queries by name."""
+
+from __future__ import annotations
+
+from . import corpus, links, rules  # noqa: F401  (they fill the registry)
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
