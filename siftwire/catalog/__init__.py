@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, links, rules  # noqa: F401  (they fill the registry)
+from . import corpus, features, links, rules, streams  # noqa: F401  (they fill the registry)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -48,6 +48,8 @@ M = f"m AS ({messages_sql()})"
 _SCHEME = r"""(?:https?://|www\.)[^\s<>"'()]+"""
 _BARE = rf"""(?:^|[^\w@.-])((?:[a-z0-9@-]+\.)+(?:{d.LINK_TLDS})\b(?:[/:?#][^\s<>"'()]*)?)"""
 
+_SHORT = rf"(?:{d.SHORT_LINK_HOSTS})/\S+"
+
 
 def link_parts(source: str, id_col: str, text: str) -> str:
     return f"""
@@ -57,7 +59,8 @@ SELECT {id_col}, {text} AS text, match, raw, auth,
 FROM (SELECT *, regexp_extract(regexp_replace(raw, '(?i)^https?://', ''), '^[^/?#\\\\]*') AS auth
       FROM (SELECT *, rtrim(match, {quoted(d.LINK_TAIL)}) AS raw
             FROM (SELECT {id_col}, {text}, coalesce(nullif(regexp_extract({text}, {rex(_SCHEME, 'i')}), ''),
-                                   nullif(regexp_extract({text}, {rex(_BARE, 'i')}, 1), '')) AS match
+                                   nullif(regexp_extract({text}, {rex(_BARE, 'i')}, 1), ''),
+                                   nullif(regexp_extract({text}, {rex(_SHORT, 'i')}), '')) AS match
                   FROM {source}) WHERE match IS NOT NULL))"""
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dims import domains as d
 from . import rx
+from .match import literal_map
 from .rows import bound
 
 _PATH = r"""[^\s<>"'()]"""
@@ -37,10 +38,6 @@ _OWNER_LABELS = max(k.count(".") + 1 for k in d.OFFICIAL)
 _SUFFIX_LABELS = max(k.count(".") + 1 for k in d.NEUTRAL_SUFFIXES)
 
 
-def _literal_map(items: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in items.items() for x in pair])
-
-
 def link_matches(text: Column) -> Column:
     """Every link in the text; a text without a dot or a scheme holds none and is not searched."""
     found = F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
@@ -74,7 +71,7 @@ def host_of(site: Column) -> Column:
 
 def owner_of(host: Column) -> Column:
     """Owner by the longest allowlist entry that the host equals or ends with, else NULL."""
-    owners = _literal_map(d.OFFICIAL)
+    owners = literal_map(d.OFFICIAL)
     h = F.regexp_replace(F.btrim(F.lower(host), F.lit(".")), r"^www\.", "")
     return bound(h, lambda x: F.coalesce(*[
         F.try_element_at(owners, F.substring_index(x, ".", -k)) for k in range(_OWNER_LABELS, 0, -1)]))
@@ -149,37 +146,27 @@ def brands_in_text(text: Column) -> Column:
 
 
 def classify(host: Column, userinfo: Column) -> Column:
-    """``struct<kind, owner, brand, official_host>`` of one host."""
-    facts = F.struct(
-        host.alias("host"), owner_of(host).alias("owner"),
-        F.when(userinfo != "", brand_of_host(F.concat(
-            F.replace(userinfo, F.lit("@"), F.lit(".")), F.lit(".x")))).alias("decoy"),
-        F.when(userinfo != "", F.concat(userinfo, F.lit(".x"))).alias("decoy_host"))
-
-    def first_kind(f: Column) -> Column:
-        h = f["host"]
-        kind = (
-            F.when(f["decoy"].isNotNull(), "decoy")
-            .when(f["owner"].isNotNull(), "official")
-            .when(is_shortener(h), "shortener")
-            .when(is_neutral(h), "neutral")
-            .otherwise("open"))
-        return F.struct(h.alias("host"), f["owner"].alias("owner"), f["decoy_host"].alias("decoy_host"),
-                        kind.alias("kind"))
-
-    def with_brand(f: Column) -> Column:
-        brand = (F.when(f["kind"] == "decoy", brand_of_host(f["decoy_host"]))
-                 .when(f["kind"] == "open", brand_of_host(f["host"])))
-        return F.struct(f["host"].alias("host"), f["owner"].alias("owner"), f["kind"].alias("kind"),
-                        brand.alias("brand"))
+    """``struct<kind, owner, brand, official_host>`` of one host.
+
+    The brand patterns run on the decoy in front of an ``@``, and on the host only where nothing
+    else has settled its kind.
+    """
+    def facts(owner: Column) -> Column:
+        plain = (F.when(owner.isNotNull(), "official").when(is_shortener(host), "shortener")
+                 .when(is_neutral(host), "neutral"))
+        return bound(plain, lambda k: F.struct(owner.alias("owner"), k.alias("plain"), F.transform(F.array(
+            F.when(userinfo != "", F.concat(F.replace(userinfo, F.lit("@"), F.lit(".")), F.lit(".x"))),
+            F.when(userinfo != "", F.concat(userinfo, F.lit(".x"))),
+            F.when(k.isNull(), host)), lambda x: brand_of_host(x)).alias("brands")))
 
     def final(f: Column) -> Column:
-        kind = (F.when(f["kind"] == "decoy", "lookalike")
-                .when((f["kind"] == "open") & f["brand"].isNotNull(), "lookalike")
-                .when(f["kind"] == "open", "other").otherwise(f["kind"]))
-        owner = F.when(f["kind"] == "official", f["owner"]).when(
-            f["kind"].isin("decoy", "open"), registrable(f["host"]))
-        return F.struct(kind.alias("kind"), owner.alias("owner"), f["brand"].alias("brand"),
+        decoy = F.get(f["brands"], F.lit(0)).isNotNull()
+        own = F.get(f["brands"], F.lit(2))
+        kind = F.when(decoy, "lookalike").otherwise(F.coalesce(
+            f["plain"], F.when(own.isNotNull(), "lookalike").otherwise("other")))
+        owner = F.when(decoy | f["plain"].isNull(), registrable(host)).otherwise(f["owner"])
+        brand = F.when(decoy, F.get(f["brands"], F.lit(1))).otherwise(own)
+        return F.struct(kind.alias("kind"), owner.alias("owner"), brand.alias("brand"),
                         f["owner"].isNotNull().alias("official_host"))
 
-    return bound(bound(bound(facts, first_kind), with_brand), final)
+    return bound(bound(owner_of(host), facts), final)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 # Unicode word characters (letters and numbers of any kind, underscore; no combining marks).
 WORD = r"\p{L}\p{N}_"
@@ -210,6 +211,7 @@ def _join(branches: list[_Item], fold: bool, top: bool) -> _Item:
                  any(b.empty for b in branches), needles=_union([b.needles for b in branches]))
 
 
+@lru_cache(maxsize=None)
 def needles(pattern: str) -> list[str]:
     """Lower-case substrings one of which is in every match; empty when there is no such set."""
     found = _Reader(pattern.replace(_DOTTED_PLAIN, _DOTTED_MARK)).alternatives(True).needles or ()
@@ -224,6 +226,7 @@ def java(pattern: str, flags: str = "is") -> str:
     return (f"(?{flags})" if flags else "") + java_body(pattern, fold="i" in flags)
 
 
+@lru_cache(maxsize=None)
 def java_body(pattern: str, fold: bool) -> str:
     """The same without flags, for use inside a larger pattern; ``fold``: that one ignores case."""
     return _Reader(pattern.replace(_DOTTED_PLAIN, _DOTTED_MARK)).alternatives(fold).text

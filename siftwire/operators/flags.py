@@ -118,7 +118,7 @@ def rule_column(rule_id: str, text: Message, links: Column, masked: Message) ->
     if rule_id == "lookalike_domain":
         return _lookalike(links)
     if rule_id == "brand_link_mismatch":
-        return _brand_mismatch(text.raw, links)
+        return _brand_mismatch(text.column, links)
     if rule_id == "suspicious_link":
         return _suspicious_link(masked)
     return _grouped(r.RULE_BY_ID[rule_id], text)
@@ -141,7 +141,7 @@ def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
         df = with_links(df, text)
     keep = [*df.columns, "flags"]
     df = _with_masked(with_folded(df, text), text)
-    msg, masked = Message(F.col(text), F.col("_folded")), Message(F.col("_masked"), F.col("_masked_folded"))
+    msg, masked = Message(text, "_folded"), Message("_masked", "_masked_folded")
     fired = [rule_column(rule.id, msg, F.col("links"), masked) for rule in r.RULES]
     return df.withColumn("flags", F.array_compact(F.array(*fired))).select(*keep)
 
@@ -154,11 +154,11 @@ def single_rule(df: DataFrame, rule_id: str, id_col: str = "msg_id", text: str =
     rule = r.RULE_BY_ID[rule_id]
     by_text = rule_id == "prize_claim" or (rule.groups is not None and rule_id != "suspicious_link")
     base = with_folded(df.select(id_col, text), text)
-    msg = Message(F.col(text), F.col("_folded"))
+    msg = Message(text, "_folded")
     if by_text:
         flagged = base.select(id_col, rule_column(rule_id, msg, F.lit(None), msg).alias("_f"))
     else:
-        masked = Message(F.col("_masked"), F.col("_masked_folded"))
+        masked = Message("_masked", "_masked_folded")
         flagged = _with_masked(with_links(base, text), text).select(
             id_col, rule_column(rule_id, msg, F.col("links"), masked).alias("_f"))
     # an array explode keeps the computed struct from being evaluated again by a pushed-down filter

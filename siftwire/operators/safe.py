@@ -75,9 +75,9 @@ def credential_request(text: Message) -> Column:
             return bound(woven, lambda w: F.filter(
                 found, lambda m, k: ~F.rlike(before(w, k), F.lit(negated))))
 
-        return bound(F.split(text.raw, pattern), clear)
+        return bound(F.split(text.column, pattern), clear)
 
-    asked = bound(F.regexp_extract_all(text.raw, F.lit(pattern), F.lit(0)), pick)
+    asked = bound(F.regexp_extract_all(text.column, F.lit(pattern), F.lit(0)), pick)
     return F.when(has(text, r.CREDENTIALS, "i"), F.get(asked, F.lit(0)))
 
 
@@ -110,7 +110,7 @@ def with_safe(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``safe``: applies, signals, blocked_by.  Needs ``links`` and ``flags``."""
     keep = [*df.columns, "safe"]
     df = with_folded(df, text)
-    t, links = Message(F.col(text), F.col("_folded")), F.col("links")
+    t, links = Message(text, "_folded"), F.col("links")
     df = df.withColumn("_signals", F.array_compact(F.array(
         *[signal_column(s.id, t, links) for s in r.SIGNALS])))
     blocks = F.when(F.size("_signals") > 0, _blockers(t, links, F.col("flags"), F.col("_signals"))).otherwise(
@@ -130,7 +130,7 @@ def single_signal(df: DataFrame, signal_id: str, id_col: str = "msg_id", text: s
     from .links import with_links
 
     linked = with_links(with_folded(df.select(id_col, text), text), text)
-    msg = Message(F.col(text), F.col("_folded"))
+    msg = Message(text, "_folded")
     found = linked.select(id_col, signal_column(signal_id, msg, F.col("links")).alias("_s"))
     rows = explode_rows(found, [id_col], F.array_compact(F.array("_s")), None, "s")
     return rows.select(id_col, F.col("s.matched").alias("matched"), F.col("s.own_block").alias("own_block"))
