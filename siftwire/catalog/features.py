@@ -74,6 +74,13 @@ def derived_model(vocab: DataFrame) -> md.Model:
     return md.model_of(vocab.withColumn("w", F.expr(_W_EXPR)), _BIAS)
 
 
+def stored(model: md.Model) -> md.Model:
+    """The model from a written table, as in production; its making is not planned again by each user."""
+    path = sinks.shared_dir(model.weights.sparkSession, "model")
+    model.save(path)
+    return md.Model(model.weights.sparkSession.read.parquet(path), model.n_terms)
+
+
 def terms_sql(source: str, key: str) -> str:
     """CTEs lt, wg, tt: light text, windows of words, term table."""
     return f"""
@@ -236,7 +243,7 @@ add("e8_top_weights", lambda s, d: md.top_weights(derived_model(doc_vocab(s, d))
 
 
 def msg_features(s, d):
-    return x.feature_table(light(msgs(s, d)), derived_model(msg_vocab(s, d)))
+    return x.feature_table(light(msgs(s, d)), stored(derived_model(msg_vocab(s, d))))
 
 
 _ATT = f"""{_MSG_V},
@@ -300,7 +307,7 @@ def _spans(s, d):
 
 
 add("f7_highlights", _spans)
-add("j4_analyse", lambda s, d: jobs.analyse(msgs(s, d), derived_model(f.with_idf(
-    f.vocabulary(f.message_terms(msgs(s, d)), max_terms=VOCAB_MAX), read_table(s, d, "events")))).select(
+add("j4_analyse", lambda s, d: jobs.analyse(msgs(s, d), stored(derived_model(f.with_idf(
+    f.vocabulary(f.message_terms(msgs(s, d)), max_terms=VOCAB_MAX), read_table(s, d, "events"))))).select(
     "msg_id", "label", "verdict", "spam_probability", F.size("red_flags").alias("n_flags"),
     F.size("top_spam_features").alias("n_up"), F.size("highlights").alias("n_spans"), "bias"))

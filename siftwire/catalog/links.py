@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hosts as h
-from ..functions.rows import explode_rows, spread
+from ..functions.rows import explode_rows, keep_where, spread
 from ..operators import links as ln
 from ..plans.messages import read_table
 from . import sql as q
@@ -34,13 +34,14 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct hosts of all links, before any per-host work."""
-    return ln.parse_hosts(texts(spark, sf_dir), "body").where(F.contains("host", F.lit("."))).select("host").distinct()
+    parsed = ln.parse_hosts(texts(spark, sf_dir), "body").select("host")
+    return keep_where(parsed, F.contains("host", F.lit("."))).distinct()
 
 
 add("g1_link_extraction", lambda s, d: found(s, d).select("origin", "id", "pos", "raw"),
     f"WITH {_BOTH} SELECT origin, id, CAST(0 AS BIGINT) AS pos, raw FROM lk")
-add("g2_host_parse", lambda s, d: ln.parse_hosts(texts(s, d), "body").where("raw IS NOT NULL").select(
-    "origin", "id", "host", "userinfo"), f"WITH {_BOTH} SELECT origin, id, host, userinfo FROM lk")
+add("g2_host_parse", lambda s, d: keep_where(
+    ln.parse_hosts(texts(s, d), "body").select("origin", "id", "host", "userinfo"), F.col("host").isNotNull()), f"WITH {_BOTH} SELECT origin, id, host, userinfo FROM lk")
 add("g3_official_owner", lambda s, d: hosts(s, d).select("host", h.owner_of(F.col("host")).alias("owner")),
     q.ctes(_HOSTS, *q.DIMS, *q.owner_ctes("hosts")) +
     " SELECT host, owner FROM hosts LEFT JOIN owner_of USING (host)")
@@ -95,8 +96,8 @@ _CASE = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EXPECT
 def _cases(spark, sf_dir):
     cases = msgs(spark, sf_dir).select("msg_id", "category", F.col("text").alias("link"), F.expr(_CASE).alias("expected"))
     graded = ln.case_report(cases, ["msg_id", "category"])
-    return graded.where("got <> 'none'").groupBy("category", "expected", "got").agg(
-        F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+    return graded.groupBy("category", "expected", "got").agg(
+        F.count("*").alias("total"), F.count_if("passed").alias("passed")).where("got <> 'none'")
 
 
 add("g14_domain_cases", _cases, q.ctes(*q.MESSAGE_LINKS, q.MK) + f""" SELECT category, {_CASE} AS expected, kind AS got,

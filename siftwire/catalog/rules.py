@@ -71,14 +71,14 @@ SELECT msg_id, CASE WHEN verdict = 'spam' OR (verdict = 'unsure' AND p >= 0.5) T
 
 def _matrices(spark, sf_dir):
     both = judged(spark, sf_dir).select("expected", "verdict", "ml_label")
-    parts = [vd.verdict_matrix(both, "expected", call).withColumn("by", F.lit(name))
+    parts = [vd.verdict_matrix(both, "expected", call).withColumn("judge", F.lit(name))
              for name, call in (("full", "verdict"), ("ml", "ml_label"))]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (v = '{c}') AS {c}" for c in ("ham", "unsure", "spam"))
-add("j5_verdict_matrix", _matrices, _VD + f""" SELECT expected, by, {_COUNTS} FROM (
-  SELECT expected, 'full' AS by, verdict AS v FROM jd
+add("j5_verdict_matrix", _matrices, _VD + f""" SELECT expected, judge, {_COUNTS} FROM (
+  SELECT expected, 'full' AS judge, verdict AS v FROM jd
   UNION ALL SELECT expected, 'ml', CASE WHEN p >= 0.5 THEN 'spam' ELSE 'ham' END FROM jd) GROUP BY ALL""")
 
 _ML_OK = "(CASE WHEN p >= 0.5 THEN 'spam' ELSE 'ham' END = expected)"

@@ -20,6 +20,17 @@ def explode_rows(df: DataFrame, keep: list, items: Column, pos: str | None, item
     return rows.where(F.col(pos).isNotNull())
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` for conditions on computed columns.
+
+    A plain filter is pushed below the projections that compute its columns and repeats their
+    work, once per reference and again for every column those columns use.  A filter on the output
+    of a generator stays where it is.
+    """
+    mark = F.when(condition, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    return explode_rows(df, df.columns, mark, None, "_keep").drop("_keep")
+
+
 def bound(value: Column, fn) -> Column:
     """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))

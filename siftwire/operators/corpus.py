@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.rows import keep_where
 
 MIN_KEY_CHARS = 2
 
@@ -29,7 +30,7 @@ def prepare(corpus: DataFrame) -> DataFrame:
     """Cleaned text and its key; rows with a key under two characters dropped."""
     cleaned = corpus.withColumn("text", t.clean(F.col("text")))
     keyed = cleaned.withColumn("key", t.dedup_key(F.col("text")))
-    return keyed.where(F.length("key") >= MIN_KEY_CHARS)
+    return keep_where(keyed, F.length("key") >= MIN_KEY_CHARS)
 
 
 def first_wins(prepared: DataFrame) -> DataFrame:

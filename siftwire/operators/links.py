@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hosts as h
-from ..functions.rows import bound, explode_rows
+from ..functions.rows import bound, explode_rows, keep_where
 
 
 def _parsed(match: Column) -> Column:
@@ -70,7 +70,7 @@ def classify_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
     Hosts repeat heavily in real traffic, so the distinct (a partial aggregate) comes first and
     the brand patterns run once per host.
     """
-    base = hosts.where(F.contains(host, F.lit("."))).select(host).distinct()
+    base = keep_where(hosts.select(host), F.contains(host, F.lit("."))).distinct()
     out = base.withColumn("_c", h.classify(F.col(host), F.lit("")))
     return out.select(host, *[F.col(f"_c.{c}").alias(c) for c in ("kind", "owner", "brand")])
 

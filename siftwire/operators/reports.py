@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import allowlist, rule_table, signal_table
 from ..functions.match import literal_map
+from ..functions.rows import keep_where
 from .verdict import SPAM_AT, UNSURE_HIGH, UNSURE_LOW
 
 # --- fixed values: language codes and categories without a threat level --------------------------------
@@ -36,14 +37,13 @@ def probe_report(judged: DataFrame, group: str, p: str = "p") -> DataFrame:
 
 def miss_list(judged: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Rows that the model alone or the final verdict gets wrong."""
-    # The test runs on the finished columns: filtering on the flags themselves would evaluate them twice.
     out = judged.select(
         *keys, "expected", F.round(p, 3).alias("ml_probability"),
         (ml_call(F.col(p)) == F.col("expected")).alias("ml_correct"), F.col("verdict").alias("final_verdict"),
         F.array_join(F.transform("flags", lambda f: f["id"]), ",").alias("red_flags"),
         F.when(F.col("safe_signal_applied"), F.array_join(F.transform("safe.signals", lambda s: s["id"]), ","))
         .otherwise("").alias("safe_signal"))
-    return out.where(~F.col("ml_correct") | (F.col("final_verdict") != F.col("expected")))
+    return keep_where(out, ~F.col("ml_correct") | (F.col("final_verdict") != F.col("expected")))
 
 
 def threat_level(caught: Column, total: Column) -> Column:

@@ -68,6 +68,7 @@ def judge(messages: DataFrame, model: md.Model, id_col: str = "msg_id", text: st
     The probability is joined to the bare messages; the rules then run on the joined rows, so the
     wide rule columns never go through the shuffle.
     """
+    messages = messages.drop("p")  # the model's probability takes the place of one that came along
     joined = messages.join(probabilities(messages, model, id_col, text), id_col)
     return v.with_verdict(v.with_rules(joined, text))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as t
+from ..functions.rows import keep_where
 from ..operators import corpus as c
 from ..operators import verdict as v
 from ..operators.model import Model
@@ -49,7 +50,7 @@ def gate_streams(messages: DataFrame, text: str = "text") -> tuple[DataFrame, Da
 def first_arrivals(messages: DataFrame, event_time: str, delay: str, text: str = "text") -> DataFrame:
     """First arrival of every key within the watermark; state older than the delay is dropped."""
     keyed = messages.withColumn("key", t.dedup_key(t.clean(F.col(text))))
-    keyed = keyed.where(F.length("key") >= c.MIN_KEY_CHARS)
+    keyed = keep_where(keyed, F.length("key") >= c.MIN_KEY_CHARS)
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])
 
 
