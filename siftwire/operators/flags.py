@@ -17,7 +17,6 @@ from ..functions.rows import bound, explode_rows
 from .links import mask_official, with_links
 
 FLAG_TYPE = "array<struct<id:string,severity:string,matched:array<string>>>"
-_NO_MATCH = "array<string>"
 
 
 def _flag(rule_id: str, severity: Column, matched: Column) -> Column:
