@@ -55,7 +55,7 @@ def test_dialect(spark):
     assert one(spark, "बधाई", t.word_tokens) == ["बध", "ई"]
     assert not one(spark, "élan", lambda c: F.rlike(c, F.lit(rx.java(r"\blan\b"))))
     assert one(spark, "a b", t.split_words) == ["a", "b"]
-    assert one(spark, "a \t b\r\n \n\n c\x0b", t.clean) == "a b\n\nc"
+    assert one(spark, "a \t b\r\n \n\n c\x0b", t.clean) == "a b\n\n c"  # a blank after the squeezed lines stays
 
 
 def test_normaliser(spark):
