@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Prefixes, pieces and words whose encoding a Python worker remembers before it starts afresh.
-CACHE_PREFIXES = 600_000
-CACHE_PIECES = 300_000
-CACHE_WORDS = 500_000
+CACHE_PREFIXES = 200_000
+CACHE_PIECES = 150_000
+CACHE_WORDS = 200_000
 #: Below it, letters are letters in every Unicode version.
 LATIN_END = "\u0250"
 
@@ -93,7 +93,7 @@ class Encoder:
                 limit, a = a, left[1]
             else:
                 limit, b = b + 1, right[0]
-        if len(self._fit) >= 1_000_000:
+        if len(self._fit) >= 300_000:
             self._fit.clear()
         self._fit[key] = found
         return found
