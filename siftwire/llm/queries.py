@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, toxicity
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Folds and bound on labelled rows that the toxicity machine learns from.
+TOXIC_FOLDS, TOXIC_ROWS = 5, 20_000
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine | None:
+    rows = toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXIC_FOLDS, TOXIC_ROWS)
+    return toxicity.train(rows)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id"), TOXIC_FOLDS).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
