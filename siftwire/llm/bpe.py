@@ -275,6 +275,12 @@ def _fields(df: DataFrame, names: list[str], *more: T.StructField) -> T.StructTy
     return T.StructType([df.schema[n] for n in names] + list(more))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",),
            text: str = "text") -> DataFrame:
     """``keep`` columns, n_tokens (long) and ids (binary, little-endian 32-bit numbers) of every whole text.
@@ -288,7 +294,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = ready(ranks.value, pattern)[1].encode
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [encoded(t) if t else b"" for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -306,7 +312,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ready(ranks.value, "")[2]
-        for batch in batches:
+        for batch in _slices(batches):
             out = [vocabulary.decode(np.frombuffer(x, "<u4")) if x else b""
                    for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(out, pa.binary())], names=names + ["decoded"])
