@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, pii, toxicity
-from .common import held_out, table
+from . import bpe, decontamination, jaccard, pii, toxicity, warc
+from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.learned(docs))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(warc.write(warc.planned(table(spark, sf_dir, "pages")), scratch(spark, "warc")), "warc-files")
+    back = warc.read(warc.ranges(spark, files), payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top,
+             array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
+                     CAST((CAST(strpos('0123456789abcdef', substr(sha1(coalesce(html, '')), CAST((5 * k + j) // 4 + 1 AS INTEGER), 1)) - 1 AS INTEGER)
+                           >> CAST(3 - (5 * k + j) % 4 AS INTEGER)) & 1 AS INTEGER) << CAST(4 - j AS INTEGER))) AS INTEGER), 1)), '') AS payload_digest
+      FROM pages)
+"""
