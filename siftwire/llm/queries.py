@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, pii, toxicity, warc
+from . import bpe, brown, decontamination, jaccard, pii, toxicity, warc
 from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                            >> CAST(3 - (5 * k + j) % 4 AS INTEGER)) & 1 AS INTEGER) << CAST(4 - j AS INTEGER))) AS INTEGER), 1)), '') AS payload_digest
       FROM pages)
 """
+
+
+@query
+def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), 10)
