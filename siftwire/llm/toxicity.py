@@ -181,7 +181,7 @@ def distinct_stems(ranked: list[tuple[str, int]], n: int) -> list[str]:
     return list(chosen)
 
 
-def train(labelled: DataFrame, n_landmarks: int = 32, min_share: float = 0.01, witnesses: int = 5) -> Machine | None:
+def train(labelled: DataFrame, n_landmarks: int = 32, min_share: float = 0.02, witnesses: int = 5) -> Machine | None:
     """A machine from (text, toxic); None without both classes or without a segment that marks toxic texts.
 
     The caller bounds the rows.  Frequencies and witnesses are worked out by Spark; the driver gets
