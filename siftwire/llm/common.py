@@ -102,10 +102,11 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     width = min(width, len(hashes))
-    out = np.zeros(len(hashes) - width + 1, np.uint64)
-    for k in range(width):
-        out = mixed(out * np.uint64(31) + hashes[k:len(hashes) - width + 1 + k])
-    return out + np.uint64(width)
+    n = len(hashes) - width + 1
+    out = hashes[:n] * _MIX
+    for k in range(1, width):
+        out = (out + hashes[k:k + n]) * _MIX
+    return mixed(out + np.uint64(width))
 
 
 def cut(arrays: list[np.ndarray], to: np.ndarray, n: int) -> Iterator[tuple[int, list[bytes]]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, connected, cut, joined, shingles, stored, words
+from .common import WordHashes, buckets, connected, cut, joined, shingles, stored, words
 
 #: Counters of the frequency sketch that orders shingles; groups of a count vector; points of a leaf.
 SKETCH, GROUPS, LEAF = 1 << 20, 24, 16
@@ -27,25 +27,22 @@ SKETCH, GROUPS, LEAF = 1 << 20, 24, 16
 BLOCK = 4096
 
 
+ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
+SEED = np.dtype([("seed", np.uint64), ("node", np.int64)])
+#: Bits of the filter that tells which sets are in some tree; at worst it lets all of them through.
+FILTER_BITS = 26
+
+
 def _sets(column, width: int, seen: WordHashes) -> Iterator[np.ndarray]:
     for text in column.to_pylist():
-        yield np.unique(shingles(seen.of(words(text)), width))
-
+        s = shingles(seen.of(words(text)), width)
+        s.sort()
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
 
-def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text, n, a, b): the number of shingles and a 128-bit name of the set, n = 0 and no name without words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
-        for batch in batches:
-            n, a, b = [], [], []
-            for s in _sets(batch.column("text"), width, seen):
-                n.append(len(s))
-                a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(np.bitwise_xor.reduce(s * (s | np.uint64(1)) + (s >> np.uint64(7)), initial=np.uint64(0)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["doc_id", "n", "a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long")
+def name(s: np.ndarray) -> int:
+    """A set's node: a 63-bit hash of its shingles, -1 without any."""
+    return int(np.bitwise_xor.reduce((s + np.uint64(len(s))) * (s | np.uint64(1))) >> np.uint64(1)) if len(s) else -1
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -58,10 +55,9 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = WordHashes(), np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for s in _sets(batch.column("text"), width, seen):
-                total += np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 64 else 0
-                if len(s) <= SKETCH // 64:
-                    np.add.at(total, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+            for k in range(0, len(batch), 2000):
+                found = [np.zeros(0, np.uint64), *_sets(batch.column("text").slice(k, 2000), width, seen)]
+                total += np.bincount((np.concatenate(found) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())],
                                          names=["part", "counts"])
 
@@ -83,52 +79,114 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def seeds(reps: DataFrame, width: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
-    """(bucket, rows): for each set's rarest shingles shingle, node, size, typicality and count vector, dealt by shingle."""
-    shared = reps.sparkSession.sparkContext.broadcast(classes)
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts of the groups that shingles are hashed into; a count beyond 16 bits stays at their end."""
+    return np.minimum(np.bincount(((s >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535)
+
+
+def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
+    """(bucket, rows): each document's attributes in bucket -1, and (shingle, node) of its rarest shingles dealt by shingle.
+
+    Of texts with one set that a task meets, one gives its shingles.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rank = WordHashes(), shared.value
+        seen, rank, done = WordHashes(), shared.value, set()
         for batch in batches:
             for k in range(0, len(batch), 2000):
                 part, out = batch.slice(k, 2000), []
-                for node, s in zip(part.column("node").to_pylist(), _sets(part.column("text"), width, seen), strict=True):
+                ids = part.column("doc_id").to_pylist()
+                attrs = np.zeros(len(part), ATTR)
+                for i, s in enumerate(_sets(part.column("text"), width, seen)):
+                    node = name(s)
+                    attrs[i]["doc"], attrs[i]["null"], attrs[i]["node"], attrs[i]["n"] = ids[i] or 0, ids[i] is None, node, len(s)
+                    if not len(s) or ids[i] is None:
+                        continue
                     level = rank[(s % np.uint64(SKETCH)).astype(np.int64)]
-                    first = s[np.lexsort((s, level))[:prefix_length(len(s), percent)]]
-                    row = np.zeros(len(first), ROW)
-                    row["seed"], row["node"], row["n"] = first, node, len(s)
-                    row["typical"] = level.mean() * 1000
-                    row["point"] = point(s)
-                    out.append(row)
-                if out and (rows := np.concatenate(out)).size:
-                    to = (rows["seed"] % np.uint64(n_buckets)).astype(np.int64)
-                    for b, (raw,) in cut([rows], to, n_buckets):
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "rows"])
+                    attrs[i]["typical"], attrs[i]["point"] = level.mean() * 1000, point(s)
+                    if node not in done:
+                        done.add(node)
+                        row = np.zeros(prefix_length(len(s), percent), SEED)
+                        row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
+                        out.append(row)
+                found = [(-1, attrs.tobytes())]
+                if out:
+                    rows = np.concatenate(out)
+                    found += [(b, raw) for b, (raw,) in cut([rows], (rows["seed"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([raw for _, raw in found], pa.binary())], names=["bucket", "rows"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
+
+
+def attributes(seeded: DataFrame) -> DataFrame:
+    """(doc_id, node, n, typical, point) of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("rows").to_pylist():
+                rows = np.frombuffer(raw, ATTR)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows["doc"], mask=rows["null"]), pa.array(rows["node"]), pa.array(rows["n"].astype(np.int64)),
+                     pa.array(rows["typical"].astype(np.int64)), pa.array([p.tobytes() for p in rows["point"]], pa.binary())],
+                    names=["doc_id", "node", "n", "typical", "point"])
 
-    return reps.select("node", "text").mapInArrow(run, "bucket int, rows binary")
+    return seeded.where("bucket < 0").select("rows").mapInArrow(run, "doc_id long, node long, n long, typical long, point binary")
 
 
-ROW = np.dtype([("seed", np.uint64), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
+def trees(seeded: DataFrame) -> DataFrame:
+    """(seed, node) of every shingle that at least two sets have among their rarest."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = joined(group["rows"], SEED)
+        rows = rows[np.lexsort((rows["node"], rows["seed"]))]
+        again = np.concatenate([[False], rows[1:] == rows[:-1]])
+        rows = rows[~again]
+        same = np.concatenate([[False], rows["seed"][1:] == rows["seed"][:-1]])
+        keep = rows[same | np.concatenate([same[1:], [False]])]
+        return pd.DataFrame({"seed": keep["seed"].astype(np.int64), "node": keep["node"]})
 
+    return seeded.where("bucket >= 0").groupBy("bucket").applyInPandas(run, "seed long, node long")
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups that shingles are hashed into; a count too large for 16 bits makes all bounds hold."""
-    return np.minimum(np.bincount(((s >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535)
 
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the given nodes.
 
-def trees(seeded: DataFrame) -> DataFrame:
-    """(seed, node, n, typical, point) of every shingle that at least two sets have among their rarest."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = joined(group["rows"], ROW)
-        order = np.argsort(rows["seed"], kind="stable")
-        seed = rows["seed"][order]
-        same = np.concatenate([[False], seed[1:] == seed[:-1]])
-        keep = rows[order[same | np.concatenate([same[1:], [False]])]]
-        return pd.DataFrame({"seed": keep["seed"].view(np.int64) if len(keep) else np.zeros(0, np.int64), "node": keep["node"],
-                             "n": keep["n"].astype(np.int64), "typical": keep["typical"].astype(np.int64),
-                             "point": [p.tobytes() for p in keep["point"]]})
+    The nodes set bits of a filter of fixed size that travels with the scan, so that only sets in it
+    are moved; a join with the nodes then settles which belong, once each.
+    """
+    size, mask = 1 << FILTER_BITS, np.uint64((1 << FILTER_BITS) - 1)
+    chunk = size // 64
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(size, bool)
+        for batch in batches:
+            on[(batch.column("node").to_numpy().astype(np.uint64) & mask).astype(np.int64)] = True
+        packed = np.packbits(on).reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["part", "bits"])
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [group["part"].iat[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]]).tobytes()]})
+
+    on = np.zeros(size // 8, np.uint8)
+    for r in nodes.select("node").mapInArrow(bits, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect():
+        on[r["part"] * chunk // 8:(r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(on)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, done = WordHashes(), set()
+        for batch in batches:
+            for k in range(0, len(batch), 2000):
+                out = []
+                for s in _sets(batch.column("text").slice(k, 2000), width, seen):
+                    node = name(s)
+                    at = node & (size - 1)
+                    if node >= 0 and node not in done and shared.value[at >> 3] >> (7 - (at & 7)) & 1:
+                        done.add(node)
+                        out.append((node, s.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "shingles"])
 
-    return seeded.groupBy("bucket").applyInPandas(run, "seed long, node long, n long, typical long, point binary")
+    found = docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def need(a, b, percent: int):
@@ -153,28 +211,36 @@ def tree_pairs(q: np.ndarray, qn: np.ndarray, p: np.ndarray, pn: np.ndarray, per
                 yield np.full(int(ok.sum()), i), at[ok]
 
 
-def verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, by the sets themselves."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
-        for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch.column("text"), width, seen)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last = [], (None, None)
+            keep = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(pairs, "jaccard-pairs")
-    used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = stored(reps.select("node", "text").join(used, "node", "left_semi").mapInArrow(run, "node long, shingles binary"), "jaccard-sets")
-    return (pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-            .mapInArrow(similar, "u long, v long"))
+    return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
+
+
+def star_pairs(forest: DataFrame, percent: int) -> DataFrame:
+    """Distinct (u, v): each tree's most typical set with the others, where sizes and count vectors allow a link."""
+    center = forest.groupBy("seed").agg(F.max(F.struct("typical", "node", "n", "point")).alias("c"))
+    stars = (forest.join(center, "seed").where(F.col("node") != F.col("c.node"))
+             .select("node", "n", "point", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.point").alias("q"))
+             .where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).dropDuplicates(["node", "other"]))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("point", "q"))
+            u, v, n, m = (batch.column(c).to_numpy() for c in ("node", "other", "n", "m"))
+            ok = np.minimum(p, q).sum(1, dtype=np.int64) >= need(n, m, percent)
+            ok |= (p == 65535).any(1) | (q == 65535).any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[ok]), pa.array(np.maximum(u, v)[ok])], names=["u", "v"])
+
+    return stars.mapInArrow(bounded, "u long, v long").distinct()
 
 
 def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -182,37 +248,38 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and
     stand for themselves.  Copies are linked by having the same set.  Repeated ids give repeated
-    rows; a null id takes part in no component.
+    rows, and all their texts count as one document's; a null id takes part in no component.
     """
-    spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = stored(distinct_sets(docs, width), "jaccard-names")
-    classes = names.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"))
-    classes = stored(classes, "jaccard-classes")
-    first = classes.select("node").distinct()
-    reps = docs.join(first, docs.doc_id == first.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-    forest = stored(trees(seeds(reps, width, percent, sketch(reps, width), n_buckets)), "jaccard-trees")
-
-    center = forest.groupBy("seed").agg(F.max(F.struct("typical", -F.col("node"))).alias("c"))
-    stars = (forest.join(center, "seed").select(F.least("node", -F.col("c.col2")).alias("u"), F.greatest("node", -F.col("c.col2")).alias("v"))
-             .where("u < v").distinct())
-    links = stored(verified(stars, reps, width, percent), "jaccard-stars")
-    near = stored(connected(links, "jaccard-cc"), "jaccard-near") if links.take(1) else None
-    rest = forest if near is None else forest.join(near, "node", "left")
-    rest = rest.withColumn("component", F.coalesce("component", "node") if near is not None else F.col("node"))
-    open_trees = rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("seed", "m")
-    rest = stored(rest.join(open_trees, "seed"), "jaccard-open")
-    pairs = open_pairs(rest, percent).join(stars, ["u", "v"], "left_anti") if rest.take(1) else None
-    if pairs is not None:
-        links = links.union(verified(pairs, reps, width, percent))
-        links = stored(links, "jaccard-links")
-        near = stored(connected(links, "jaccard-cc"), "jaccard-near") if links.take(1) else None
-    out = names.join(classes, ["n", "a", "b"], "left")
-    if near is not None:
-        out = out.join(near, "node", "left")
-    top = F.coalesce("component", "node", "doc_id") if near is not None else F.coalesce("node", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(top).alias("component_id"))
+    seeded = stored(seeds(docs, width, percent, sketch(docs, width), n_buckets), "jaccard-seeds")
+    names = stored(attributes(seeded), "jaccard-names")
+    known = names.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = stored(known.groupBy("node").agg(F.first("n").alias("n"), F.first("typical").alias("typical"), F.first("point").alias("point"),
+                                             F.min("doc_id").alias("first")), "jaccard-nodes")
+    forest = trees(seeded).join(nodes.drop("first"), "node")
+    forest = stored(forest.select("seed", "node", "n", "typical", "point"), "jaccard-trees")
+    sets = stored(sets_of(docs, forest.select("node").distinct(), width), "jaccard-sets")
+
+    stars = stored(star_pairs(forest, percent), "jaccard-star-pairs")
+    links = stored(verified(stars, sets, percent), "jaccard-stars")
+    near = stored(connected(links, "jaccard-cc"), "jaccard-near")
+    rest = forest.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
+                  .where("x < y AND m > 2").select("seed", "m"))
+    pairs = stored(open_pairs(rest.join(open_trees, "seed"), percent).join(stars, ["u", "v"], "left_anti"), "jaccard-pairs")
+    links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
+    # rows that share an id are one document: their sets are linked too
+    shared = known.select("doc_id", "node").distinct()
+    twice = shared.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("k")).where("k > 1")
+    links = links.union(shared.join(twice, "doc_id").select("u", F.col("node").alias("v")))
+    near = connected(links, "jaccard-cc")
+    nodes = nodes.select("node", "first").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = stored(nodes, "jaccard-components")
+    top = nodes.groupBy("component").agg(F.min("first").alias("top"))
+    of = nodes.join(top, "component").select("node", "top")
+    return names.join(of, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
 
 
 def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
@@ -247,6 +314,7 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
     def search(df: pd.DataFrame) -> Iterator[pa.RecordBatch]:
         n, node, of = (df[c].to_numpy() for c in ("n", "node", "component"))
         points = np.frombuffer(b"".join(df["point"]), np.uint16).reshape(-1, GROUPS).astype(np.int64)
+        points[points == 65535] = 1 << 40  # such counts may be larger and rule nothing out
         i, j = df["i"].iat[0], df["j"].iat[0]
         a, b = (np.flatnonzero(df["own"].to_numpy() == x) for x in (i, j))
         for x, y in tree_pairs(points[a], n[a], points[b], n[b], percent):
