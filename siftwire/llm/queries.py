@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontamination, jaccard, pii, toxicity, warc
+from . import bpe, brown, decontamination, jaccard, lines, pii, toxicity, warc
 from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,27 @@ FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
 @query
 def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"), 10)
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_line_dedup"] = """
+WITH pieces AS (
+  SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, p[k] AS piece, k - 1 AS unit, k - 1 + coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM pieces)),
+clean AS (
+  SELECT doc_id, unit, start, length(piece) AS n,
+         trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS c
+  FROM lines),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, row_number() OVER w AS place
+  FROM clean WHERE length(c) - length(replace(c, ' ', '')) >= 4 WINDOW w AS (PARTITION BY c ORDER BY doc_id, unit))
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end",
+       CAST(kept_doc_id AS BIGINT) AS kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
+FROM ranked WHERE place > 1
+"""
