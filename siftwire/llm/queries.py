@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontamination, jaccard, lines, pii, toxicity, warc
+from . import ann, bpe, brown, decontamination, jaccard, lines, pii, toxicity, warc
 from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(unit AS INTEGER) AS unit, CAST(sta
        CAST(kept_doc_id AS BIGINT) AS kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
 FROM ranked WHERE place > 1
 """
+
+
+@query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
