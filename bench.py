@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -24,6 +25,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # the tables are single files of one row group; each would otherwise be one task
+        .config("spark.siftwire.partitions", cpus).config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="siftwire-bench-"))
         # call sites of column expressions are captured one by one otherwise, which costs more than planning
         .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

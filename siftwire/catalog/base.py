@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.rows import spread
 from ..plans.messages import messages, read_table
+from ..sources.sinks import shared_dir
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -20,10 +21,26 @@ def add(name: str, job: Job, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The table in as many parts as the session's ``spark.siftwire.partitions`` asks for; as it is read without it.
+
+    Pattern work is bound by the processor, and a table in one file with one row group is one task.
+    """
+    parts = df.sparkSession.conf.get("spark.siftwire.partitions", None)
+    return df.repartition(int(parts)) if parts and not df.isStreaming else df
+
+
 def msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The message table over all cores."""
-    return spread(messages(spark, sf_dir))
+    return dealt(messages(spark, sf_dir))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents"))
+    return dealt(read_table(spark, sf_dir, "documents"))
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh shared folder; a session in one process that names none gets a temporary one."""
+    master = spark.sparkContext.master
+    if not spark.conf.get("spark.checkpoint.dir", None) and master.startswith("local") and not master.startswith("local-cluster"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="siftwire-"))
+    return shared_dir(spark, name)

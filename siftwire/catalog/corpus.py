@@ -10,7 +10,7 @@ from ..operators import corpus as c
 from ..plans.messages import read_table
 from ..sources import readers, sinks
 from . import sql as q
-from .base import add, docs, msgs
+from .base import add, docs, msgs, work_dir
 
 _LABEL = "CASE l.toxic WHEN 1 THEN 'spam' WHEN 0 THEN 'ham' ELSE 'unknown' END"
 _LABELLED = f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -39,7 +39,7 @@ FROM documents JOIN labels USING (doc_id) WHERE regexp_matches(text, '[^\\s]')""
 
 # A2
 def _csv(spark, sf_dir):
-    path = sinks.shared_dir(spark, "a2")
+    path = work_dir(spark, "a2")
     padded = labelled(spark, sf_dir).select(F.concat(F.lit(" "), "cell").alias("Kind"), F.col("text").alias("Msg"))
     padded.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
                      ignoreTrailingWhiteSpace=False)
@@ -68,7 +68,7 @@ FROM (SELECT d.*, l.toxic {_LABELLED}) l""")
 
 # A4
 def _parquet(spark, sf_dir):
-    path = sinks.shared_dir(spark, "a4")
+    path = work_dir(spark, "a4")
     rows = labelled(spark, sf_dir).select("text", F.col("cell").alias("label"))
     rows.where("label = 'spam'").write.parquet(f"{path}/train")
     rows.where("label <> 'spam'").write.parquet(f"{path}/test")
@@ -81,7 +81,7 @@ SELECT text, CAST({_LABEL} = 'spam' AS INTEGER) AS label {_LABELLED} WHERE regex
 
 # A5
 def _encodings(spark, sf_dir):
-    path = sinks.shared_dir(spark, "a5")
+    path = work_dir(spark, "a5")
     rows = labelled(spark, sf_dir).select(F.col("cell").alias("v1"), F.col("text").alias("v2"), "lang")
     for lang_test, enc in (("lang = 'en'", "UTF-8"), ("lang <> 'en'", "ISO-8859-1")):
         rows.where(lang_test).drop("lang").write.mode("append").csv(
@@ -118,7 +118,7 @@ cp AS (SELECT text, CAST(role = 'user' AS INTEGER) AS label, 'chat' AS source, 0
 def clean_sql(col: str) -> str:
     e = f"regexp_replace(replace({col}, chr(13), ''), '[ \\t\\f\\x0B]+', ' ', 'g')"
     e = f"regexp_replace({e}, '\\n{_SPACE}*\\n+', chr(10) || chr(10), 'g')"
-    return f"substr(regexp_replace({e}, {_STRIP}, '', 'g'), 1, 4000)"
+    return f"regexp_replace({e}, {_STRIP}, '', 'g')"
 
 
 def key_sql(col: str) -> str:
@@ -139,7 +139,7 @@ add("a6_unified_corpus", lambda s, d: corpus(s, d).groupBy("source", "prio", "la
 
 # A7
 def _round_trip(spark, sf_dir):
-    path = sinks.shared_dir(spark, "a7")
+    path = work_dir(spark, "a7")
     rows = labelled(spark, sf_dir).select(
         "text", F.when(F.col("cell") == "spam", 1).otherwise(0).alias("label"), "source")
     sinks.export_corpus(rows, f"{path}/csv")
@@ -160,7 +160,7 @@ def _gallery(spark, sf_dir):
     nested = by_role.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("role").alias("id"), F.col("role").alias("title"),
         F.transform("es", lambda x: x["e"]).alias("examples")))).alias("categories"))
-    path = sinks.shared_dir(spark, "a8")
+    path = work_dir(spark, "a8")
     nested.write.json(path)
     schema = f"conv_id bigint, categories {readers.GALLERY['categories'].dataType.simpleString()}"
     flat = readers.flatten_gallery(spark.read.schema(schema).json(path))

@@ -20,7 +20,7 @@ from ..plans import jobs
 from ..plans.messages import read_table
 from ..sources import sinks
 from . import sql as q
-from .base import add, docs, msgs
+from .base import add, docs, msgs, work_dir
 
 _W, _S = r"[\p{L}\p{N}_]", r"[\s\x{85}\p{Z}]"
 
@@ -32,17 +32,17 @@ def _undo_sql(col: str) -> str:
     return f"regexp_replace({e}, '([$£€₹]){_S}+(\\p{{Nd}})', '\\1\\2', 'g')"
 
 
-_JOINED = f"jn AS (SELECT doc_id, source, lang, {_undo_sql('substr(text, 1, 6000)')} AS joined FROM documents)"
+_JOINED = f"jn AS (SELECT doc_id, source, lang, {_undo_sql('text')} AS joined FROM documents)"
 _CAPS = f"len(list_filter(regexp_extract_all(joined, '{_W}+'), lambda x: regexp_full_match(x, '[A-Z]{{3,}}')))"
 
 add("c1_undo_pretokenised", lambda s, d: docs(s, d).select(
-    "doc_id", t.undo_pretokenised(F.substring("text", 1, t.NORMAL_CHARS)).alias("joined")),
+    "doc_id", t.undo_pretokenised(F.col("text")).alias("joined")),
     f"WITH {_JOINED} SELECT doc_id, joined FROM jn")
 add("c2_caps_words", lambda s, d: docs(s, d).select("doc_id", t.caps_count(t.undo_pretokenised(
-    F.substring("text", 1, t.NORMAL_CHARS))).cast("bigint").alias("caps")),
+    F.col("text"))).cast("bigint").alias("caps")),
     f"WITH {_JOINED} SELECT doc_id, {_CAPS} AS caps FROM jn")
 add("c3_placeholders", lambda s, d: docs(s, d).select("doc_id", t.substitute_placeholders(
-    t.undo_pretokenised(F.substring("text", 1, t.NORMAL_CHARS))).alias("marked")))
+    t.undo_pretokenised(F.col("text"))).alias("marked")))
 add("c4_squeeze_lower", lambda s, d: docs(s, d).select("doc_id", F.concat(
     t.squeeze_lower(F.col("text")), F.when(t.caps_count(F.col("text")) >= 2, " zzcaps").otherwise("")).alias("body")),
     f"""SELECT doc_id, lower(regexp_replace(regexp_replace(joined, '{_S}+', ' ', 'g'), '^ | $', '', 'g')) ||
@@ -51,14 +51,14 @@ add("c5_normalise", lambda s, d: nm.with_normalised(docs(s, d)).select("doc_id",
 add("c6_placeholder_profile", lambda s, d: nm.placeholder_profile(nm.with_normalised(docs(s, d)), ["source", "lang"]))
 
 # --- term tables over the lower-cased text ----------------------------------------------------------
-VOCAB_MAX = {"word": 5000, "char": 8000}
+#: Shown by one query as the parameter it is.
+CAPPED = {"word": 5000, "char": 8000}
 _W_EXPR = "((df * 7 + total * 3 + length(gram) * 5) % 21 - 10) / 50.0D"
 _BIAS = -0.25
 
 
 def light(df: DataFrame) -> DataFrame:
-    low = F.lower(F.substring("text", 1, t.NORMAL_CHARS))
-    return df.withColumn("norm", low).withColumn("norm_short", F.substring("norm", 1, t.SHORT_CHARS))
+    return df.withColumn("norm", F.lower("text")).withColumn("norm_short", F.col("norm"))
 
 
 def doc_terms(s: SparkSession, d: str, bias: bool = False) -> DataFrame:
@@ -70,23 +70,22 @@ def msg_terms(s: SparkSession, d: str, bias: bool = False) -> DataFrame:
 
 
 def derived_model(vocab: DataFrame) -> md.Model:
-    """Weights that are a fixed function of the counts, so that both engines know them."""
-    return md.model_of(vocab.withColumn("w", F.expr(_W_EXPR)), _BIAS)
+    """Weights that are a fixed function of the counts, so that both engines know them.
 
-
-def stored(model: md.Model) -> md.Model:
-    """The model from a written table, as in production; its making is not planned again by each user."""
-    path = sinks.shared_dir(model.weights.sparkSession, "model")
-    model.save(path)
-    return md.Model(model.weights.sparkSession.read.parquet(path), model.n_terms)
+    The model comes from a written table, as in production: its rows are counted, and its making is
+    not planned again by each user.
+    """
+    path = work_dir(vocab.sparkSession, "model")
+    md.model_of(vocab.withColumn("w", F.expr(_W_EXPR)), _BIAS, 0).save(path)
+    return md.Model.load(vocab.sparkSession, path)
 
 
 def terms_sql(source: str, key: str) -> str:
     """CTEs lt, wg, tt: light text, windows of words, term table."""
     return f"""
-lt AS (SELECT {key} AS id, lower(substr(text, 1, 6000)) AS norm FROM {source}),
+lt AS (SELECT {key} AS id, lower(text) AS norm FROM {source}),
 tk AS (SELECT id, regexp_extract_all(norm, '{_W}+') AS toks FROM lt),
-wd AS (SELECT id, ' ' || w || ' ' AS pad FROM (SELECT id, unnest(regexp_extract_all(substr(norm, 1, 1500), '[^\\s\\x{{85}}\\p{{Z}}]+')) AS w FROM lt)),
+wd AS (SELECT id, ' ' || w || ' ' AS pad FROM (SELECT id, unnest(regexp_extract_all(norm, '[^\\s\\x{{85}}\\p{{Z}}]+')) AS w FROM lt)),
 cg AS (SELECT id, substr(pad, i, n) AS gram FROM (
   SELECT id, pad, n, unnest(range(1, greatest(length(pad) - n + 1, 1) + 1)) AS i FROM (
     SELECT id, pad, unnest([3, 4, 5]) AS n FROM wd) WHERE n = 3 OR n <= length(pad))),
@@ -99,10 +98,8 @@ tt AS (SELECT id, 'word' AS kind, gram, count(*) AS tf FROM wg GROUP BY ALL
 _VOCAB = f"""
 vo AS (SELECT kind, gram, df, total, ln((1.0 + (SELECT count(*) FROM lt)) / (1.0 + df)) + 1.0 AS idf,
     ((df * 7 + total * 3 + length(gram) * 5) % 21 - 10) / 50.0 AS w
-  FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY total DESC, gram) AS rn FROM (
-    SELECT kind, gram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tt GROUP BY ALL)
-    WHERE df >= CASE kind WHEN 'word' THEN 2 ELSE 3 END)
-  WHERE rn <= CASE kind WHEN 'word' THEN {VOCAB_MAX['word']} ELSE {VOCAB_MAX['char']} END)"""
+  FROM (SELECT kind, gram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tt GROUP BY ALL)
+  WHERE df >= CASE kind WHEN 'word' THEN 2 ELSE 3 END)"""
 _XS = """
 xr AS (SELECT t.id, t.kind, t.gram, t.tf, v.w, (ln(t.tf) + 1.0) * v.idf AS r FROM tt t JOIN vo v USING (kind, gram)),
 xs AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY id, kind)) AS x FROM xr)"""
@@ -112,11 +109,11 @@ _MSG_V = f"WITH {q.M}, {terms_sql('m', 'msg_id')}, {_VOCAB}, {_XS}"
 
 
 def doc_vocab(s, d):
-    return f.with_idf(f.vocabulary(doc_terms(s, d), max_terms=VOCAB_MAX), read_table(s, d, "documents"))
+    return f.with_idf(f.vocabulary(doc_terms(s, d)), read_table(s, d, "documents"))
 
 
 def msg_vocab(s, d):
-    return f.with_idf(f.vocabulary(msg_terms(s, d), max_terms=VOCAB_MAX), read_table(s, d, "events"))
+    return f.with_idf(f.vocabulary(msg_terms(s, d)), read_table(s, d, "events"))
 
 
 add("d1_word_tokens", lambda s, d: light(docs(s, d)).select("doc_id", F.array_join(t.word_tokens(F.col("norm")), " ").alias("tokens")),
@@ -134,8 +131,11 @@ add("d4_term_frequency", lambda s, d: doc_terms(s, d).groupBy("doc_id", "kind").
     F.sum(F.col("tf") * F.col("tf") * F.length("gram")).alias("mix")), f"""{_DOC_T}
 SELECT id AS doc_id, kind, count(*) AS grams, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS top,
   CAST(sum(tf * tf * length(gram)) AS BIGINT) AS mix FROM tt GROUP BY ALL""")
-add("d5_vocabulary", lambda s, d: f.vocabulary(doc_terms(s, d), max_terms=VOCAB_MAX).select("kind", "gram", "df", "total"),
+add("d5_vocabulary", lambda s, d: f.vocabulary(doc_terms(s, d)).select("kind", "gram", "df", "total"),
     f"{_DOC_V} SELECT kind, gram, df, total FROM vo")
+add("d5_vocabulary_capped", lambda s, d: f.vocabulary(doc_terms(s, d), max_terms=CAPPED).select("kind", "gram", "df", "total"),
+    f"""{_DOC_V} SELECT kind, gram, df, total FROM vo QUALIFY row_number() OVER (PARTITION BY kind ORDER BY total DESC, gram)
+  <= CASE kind WHEN 'word' THEN {CAPPED['word']} ELSE {CAPPED['char']} END""")
 add("d6_idf", lambda s, d: doc_vocab(s, d).select("kind", "gram", F.round("idf", 6).alias("idf")),
     f"{_DOC_V} SELECT kind, gram, round(idf, 6) AS idf FROM vo")
 add("d7_damped_tf", lambda s, d: doc_terms(s, d).groupBy("doc_id", "kind").agg(
@@ -146,7 +146,8 @@ add("d8_unit_terms", lambda s, d: f.weighted_terms(doc_terms(s, d), doc_vocab(s,
     F.round(F.sum(F.col("x") * F.col("x")), 6).alias("norm")), f"""{_DOC_V}
 SELECT id AS doc_id, kind, count(*) AS grams, round(sum(x), 6) AS sum_x, round(max(x), 6) AS max_x, round(sum(x * x), 6) AS norm
 FROM xs GROUP BY ALL""")
-add("d9_feature_index", lambda s, d: f.indexed_vocabulary(f.vocabulary(doc_terms(s, d), max_terms=VOCAB_MAX).select("kind", "gram")),
+add("d9_feature_index", lambda s, d: f.indexed_vocabulary(f.vocabulary(doc_terms(s, d)).select("kind", "gram"),
+    work_dir(s, "d9")),
     f"{_DOC_V} SELECT kind, gram, row_number() OVER (ORDER BY kind DESC, gram) - 1 AS idx FROM vo")
 
 # --- split, weights, scoring, metrics ----------------------------------------------------------------------
@@ -177,7 +178,7 @@ FROM lb JOIN ce USING (source, label)""")
 
 def _fit(s, d):
     rows = labelled(s, d).withColumnRenamed("doc_id", "msg_id")
-    model, held = jobs.train(rows, max_iter=15)
+    model, held = jobs.train(rows, work_dir(s, "e3"))
     del model
     return mt.by_source(held)
 
@@ -217,7 +218,7 @@ SELECT grp, {_RATES} FROM (SELECT grp, {_CONF} FROM gp GROUP BY grp)""")
 
 
 def _metrics_sink(s, d):
-    path = sinks.shared_dir(s, "a10")
+    path = work_dir(s, "a10")
     sinks.write_metrics({"per_source": mt.by_source(predicted(s, d))}, path)
     kept = s.read.schema("source string, n bigint, tn bigint, fp bigint, fn bigint, tp bigint, f1 double").json(f"{path}/per_source")
     return kept
@@ -228,7 +229,7 @@ add("a10_metrics_sink", _metrics_sink,
 
 
 def _model_sink(s, d):
-    path = sinks.shared_dir(s, "a9")
+    path = work_dir(s, "a9")
     derived_model(doc_vocab(s, d)).save(path)
     return md.Model.load(s, path).weights.select("kind", "gram", F.round("w", 6).alias("w"))
 
@@ -243,7 +244,7 @@ add("e8_top_weights", lambda s, d: md.top_weights(derived_model(doc_vocab(s, d))
 
 
 def msg_features(s, d):
-    return x.feature_table(light(msgs(s, d)), stored(derived_model(msg_vocab(s, d))))
+    return x.feature_table(light(msgs(s, d)), derived_model(msg_vocab(s, d)))
 
 
 _ATT = f"""{_MSG_V},
@@ -307,7 +308,7 @@ def _spans(s, d):
 
 
 add("f7_highlights", _spans)
-add("j4_analyse", lambda s, d: jobs.analyse(msgs(s, d), stored(derived_model(f.with_idf(
-    f.vocabulary(f.message_terms(msgs(s, d)), max_terms=VOCAB_MAX), read_table(s, d, "events"))))).select(
+add("j4_analyse", lambda s, d: jobs.analyse(msgs(s, d), derived_model(f.with_idf(
+    f.vocabulary(f.message_terms(msgs(s, d))), read_table(s, d, "events")))).select(
     "msg_id", "label", "verdict", "spam_probability", F.size("red_flags").alias("n_flags"),
     F.size("top_spam_features").alias("n_up"), F.size("highlights").alias("n_spans"), "bias"))

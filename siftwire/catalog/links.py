@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hosts as h
-from ..functions.rows import explode_rows, keep_where, spread
+from ..functions.rows import explode_rows, keep_where
 from ..operators import links as ln
 from ..plans.messages import read_table
 from . import sql as q
-from .base import add, msgs
+from .base import add, dealt, msgs
 
 # links of both tables under one id
 _BOTH = f"""{q.M},
@@ -22,7 +22,7 @@ _HOSTS = f"{_BOTH}, hosts AS (SELECT DISTINCT host FROM lk)"
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select(
         F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.col("url").alias("body"))
-    return spread(pages).unionByName(
+    return dealt(pages).unionByName(
         msgs(spark, sf_dir).select(F.lit("message").alias("origin"), F.col("msg_id").alias("id"), F.col("text").alias("body")))
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.messages import messages_from, read_table
-from ..sources.sinks import shared_dir
 from ..streaming import scoring as st
 from . import sql as q
-from .base import add
+from .base import add, work_dir
 from .corpus import clean_sql, key_sql
 
 
@@ -20,7 +19,7 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    path = shared_dir(spark, name)
+    path = work_dir(spark, name)
     st.to_table(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out")
 

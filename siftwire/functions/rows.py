@@ -34,15 +34,3 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
 def bound(value: Column, fn) -> Column:
     """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than cores, else the table as it is.
-
-    Pattern work is bound by the processor; a table in one file with one row group would run as
-    one task.  Large tables have splits enough and are not shuffled.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from . import rx
 from .rows import bound
 
-# --- fixed values: length limits in characters ---------------------------------------------------
-CLEAN_CHARS = 4000
-NORMAL_CHARS = 6000
-SHORT_CHARS = 1500
+# --- fixed values: length limits in characters; texts are taken whole unless a caller passes them ----
+SHORT_TEXTS = {"clean": 4000, "norm": 6000, "norm_short": 1500}
 GATE_CHARS = 10000
 
 # --- fixed values: placeholder patterns and tokens --------------------------------------------------
@@ -54,12 +52,17 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~F.rlike(text, F.lit(rf"[^{rx.SPACE}]"))
 
 
-def clean(text: Column, limit: int = CLEAN_CHARS) -> Column:
-    """Carriage returns out, runs of blanks to one space, blank lines squeezed, stripped, cut."""
+def cut(text: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters; the whole text without a limit."""
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def clean(text: Column, limit: int | None = None) -> Column:
+    """Carriage returns out, runs of blanks to one space, blank lines squeezed, stripped; cut if a limit is given."""
     c = F.replace(text, F.lit("\r"), F.lit(""))
     c = F.regexp_replace(c, r"[ \t\f\x0B]+", " ")
     c = F.regexp_replace(c, rf"\n[{rx.SPACE}]*\n+", "\n\n")
-    return F.substring(strip(c), 1, limit)
+    return cut(strip(c), limit)
 
 
 def html_to_text(html: Column) -> Column:
@@ -100,9 +103,9 @@ def squeeze_lower(text: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, _SPACES, " ")))
 
 
-def normalise(text: Column, limit: int = NORMAL_CHARS) -> Column:
+def normalise(text: Column, limit: int | None = None) -> Column:
     """Whole normalisation as one expression; ``with_normalised`` shares its steps between columns."""
-    joined = undo_pretokenised(F.substring(text, 1, limit))
+    joined = undo_pretokenised(cut(text, limit))
     body = squeeze_lower(substitute_placeholders(joined))
     return F.concat(body, F.when(caps_count(joined) >= 2, F.lit(" zzcaps")).otherwise(F.lit("")))
 

@@ -11,9 +11,11 @@ from ..functions.rows import explode_rows
 from .normal import with_normalised
 from .ranking import first_of_group
 
-# --- fixed values: vocabulary limits ---------------------------------------------------------------
+# --- fixed values: vocabulary limits; the second is off unless a caller passes it ---------------------
 MIN_DF = {"word": 2, "char": 3}
 MAX_TERMS = {"word": 200_000, "char": 300_000}
+#: Counted rows up to which a table of terms is broadcast; larger ones are joined by their key.
+BROADCAST_TERMS = 500_000
 BIAS = "bias"  # kind of the constant feature every message carries
 
 
@@ -58,13 +60,11 @@ def _by_kind(values: dict[str, int]) -> Column:
     return F.when(F.col("kind") == "word", values["word"]).otherwise(values["char"])
 
 
-def vocabulary(terms: DataFrame, min_df: dict = MIN_DF, max_terms: dict = MAX_TERMS) -> DataFrame:
-    """Grams kept for the model: enough messages, then the most frequent; ties by gram.
-
-    The result never exceeds the sum of ``max_terms``, which is what makes it (and the weights
-    table made from it) safe to broadcast.
-    """
+def vocabulary(terms: DataFrame, min_df: dict = MIN_DF, max_terms: dict | None = None) -> DataFrame:
+    """Grams kept for the model: those in enough messages; with ``max_terms`` the most frequent of them, ties by gram."""
     counted = document_frequency(terms).where(F.col("df") >= _by_kind(min_df))
+    if max_terms is None:
+        return counted
     size_class = -F.floor(F.ln(F.col("total")) * 8)
     return first_of_group(counted, ["kind"], size_class, [F.col("total").desc(), F.col("gram")],
                           _by_kind(max_terms).cast("bigint"))
@@ -85,23 +85,32 @@ def damped(tf: Column) -> Column:
     return F.ln(tf.cast("double")) + 1.0
 
 
-def weighted_terms(terms: DataFrame, vocab: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """``x`` of every known term, of length one within each (message, kind)."""
-    known = terms.join(F.broadcast(vocab.select("kind", "gram", "idf")), ["kind", "gram"])
+def by_count(table: DataFrame, n: int | None) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if n is not None and n <= BROADCAST_TERMS else table
+
+
+def weighted_terms(terms: DataFrame, vocab: DataFrame, id_col: str = "msg_id", n_terms: int | None = None) -> DataFrame:
+    """``x`` of every known term, of length one within each (message, kind); ``n_terms``: counted rows of ``vocab``."""
+    known = terms.join(by_count(vocab.select("kind", "gram", "idf"), n_terms), ["kind", "gram"])
     raw = known.withColumn("x", damped(F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(id_col, "kind")))
     return raw.withColumn("_norm", norm).select(
         id_col, "kind", "gram", "tf", (F.col("x") / F.col("_norm")).alias("x"))
 
 
-def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
+def indexed_vocabulary(vocab: DataFrame, path: str) -> DataFrame:
     """Add ``idx``: word block first, then char block, each in gram order, from 0.
 
-    A range sort spreads the (bounded) vocabulary over tasks; ``zipWithIndex`` then numbers it
-    without bringing it to one place.
+    A range sort is written to ``path`` with each row's place in its task; the rows before a task
+    are the sum of the counts of the tasks before it, so nothing is brought to one place but those
+    counts.
     """
-    ordered = vocab.withColumn("_block", F.when(F.col("kind") == "word", 0).otherwise(1)).orderBy("_block", "gram")
-    names = vocab.columns
-    numbered = ordered.select(*names).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vocab.schema) + ", idx bigint"
-    return vocab.sparkSession.createDataFrame(numbered, schema)
+    block = F.when(F.col("kind") == "word", 0).otherwise(1)
+    vocab.withColumn("_block", block).orderBy("_block", "gram").withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    rows = vocab.sparkSession.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
+    # one row a task of the sort
+    before = rows.groupBy("_task").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    idx = (F.col("_at") - F.shiftleft(F.col("_task"), 33) + F.col("_before")).alias("idx")
+    return rows.join(F.broadcast(before.select("_task", "_before")), "_task").select(*vocab.columns, idx)

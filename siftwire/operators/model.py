@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import BIAS, MAX_TERMS, damped, indexed_vocabulary
+from .features import BIAS, by_count, damped, indexed_vocabulary
 
 # --- fixed values: regularisation and iterations ----------------------------------------------------
 C = 10.0
 MAX_ITER = 3000
-BROADCAST_TERMS = sum(MAX_TERMS.values())
 
 _VECTOR = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
                         T.StructField("features", VectorUDT())])
@@ -23,14 +22,14 @@ _VECTOR = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w
 
 @dataclass
 class Model:
-    """``weights``: kind, gram, idf, w, with one ``bias`` row; ``n_terms`` decides how it is joined."""
+    """``weights``: kind, gram, idf, w, with one ``bias`` row; ``n_terms``, its counted rows, decides how it is joined."""
 
     weights: DataFrame
     n_terms: int
 
     def joinable(self) -> DataFrame:
-        """Broadcast when the row count is within the vocabulary limit; a plain join beyond it."""
-        return F.broadcast(self.weights) if self.n_terms <= BROADCAST_TERMS + 1 else self.weights
+        """Broadcast when the counted rows are few enough; a plain join beyond that."""
+        return by_count(self.weights, self.n_terms)
 
     def save(self, path: str) -> None:
         self.weights.write.mode("overwrite").parquet(path)
@@ -45,8 +44,8 @@ def bias_row(spark: SparkSession, bias: float) -> DataFrame:
     return spark.createDataFrame([(BIAS, "", 0.0, float(bias))], "kind string, gram string, idf double, w double")
 
 
-def model_of(weights: DataFrame, bias: float, n_terms: int = BROADCAST_TERMS) -> Model:
-    """Model from a (kind, gram, idf, w) table; without a count it must come from ``vocabulary``."""
+def model_of(weights: DataFrame, bias: float, n_terms: int) -> Model:
+    """Model from a (kind, gram, idf, w) table of ``n_terms`` counted rows."""
     cols = [F.col("kind"), F.col("gram"), F.col("idf").cast("double"), F.col("w").cast("double")]
     return Model(weights.select(*cols).unionByName(bias_row(weights.sparkSession, bias)), n_terms + 1)
 
@@ -57,8 +56,7 @@ def feature_rows(terms: DataFrame, indexed: DataFrame, size: int, id_col: str =
     One shuffle: the terms of a message are collected together with the two block norms, and the
     values are divided inside the row.
     """
-    known = terms.join(F.broadcast(indexed.select("kind", "gram", "idf", F.col("idx").cast("int").alias("idx"))),
-                       ["kind", "gram"])
+    known = terms.join(by_count(indexed.select("kind", "gram", "idf", F.col("idx").cast("int").alias("idx")), size), ["kind", "gram"])
     raw = known.withColumn("x", damped(F.col("tf")) * F.col("idf"))
 
     def length(kind: str) -> Column:
@@ -84,8 +82,7 @@ def fit(terms: DataFrame, labels: DataFrame, vocab: DataFrame, work_dir: str, id
     type, they never pass through Python.
     """
     spark = terms.sparkSession
-    indexed_vocabulary(vocab.select("kind", "gram", "idf")).write.mode("overwrite").parquet(f"{work_dir}/vocabulary")
-    indexed = spark.read.parquet(f"{work_dir}/vocabulary")
+    indexed = indexed_vocabulary(vocab.select("kind", "gram", "idf"), f"{work_dir}/vocabulary")
     size = indexed.count()
     rows = feature_rows(terms, indexed, size, id_col)
     bare = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + 1).alias("size"),
@@ -101,7 +98,7 @@ def fit(terms: DataFrame, labels: DataFrame, vocab: DataFrame, work_dir: str, id
         weightCol="weight", standardization=False, fitIntercept=False, elasticNetParam=0.0,
         regParam=1.0 / (c * total), maxIter=max_iter, tol=1e-6).fit(vectors)
     coefficients = fitted.coefficients.toArray()
-    # one number per vocabulary row: bounded by the vocabulary limit
+    # one number per vocabulary row; the solver keeps them on the driver in any case
     learned = spark.createDataFrame(
         [(i, float(w)) for i, w in enumerate(coefficients[:size])], "idx bigint, w double")
     weights = indexed.join(learned, "idx").select("kind", "gram", "idf", "w")

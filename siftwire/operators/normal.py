@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
-def with_normalised(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``norm`` (first 6,000 characters of the text) and ``norm_short`` (its first 1,500)."""
+def with_normalised(df: DataFrame, text: str = "text", limits: dict | None = None) -> DataFrame:
+    """Add ``norm`` and ``norm_short``, the text that character grams come from.
+
+    Both hold the whole text; ``limits`` (such as ``text.SHORT_TEXTS``) cuts the text to ``norm``
+    characters first and ``norm_short`` to its own number.
+    """
+    limits = limits or {}
     keep = [*df.columns, "norm", "norm_short"]
-    df = df.withColumn("_joined", t.undo_pretokenised(F.substring(F.col(text), 1, t.NORMAL_CHARS)))
+    df = df.withColumn("_joined", t.undo_pretokenised(t.cut(F.col(text), limits.get("norm"))))
     body = t.squeeze_lower(t.substitute_placeholders(F.col("_joined")))
     mark = F.when(t.caps_count(F.col("_joined")) >= 2, F.lit(" zzcaps")).otherwise(F.lit(""))
     df = df.withColumn("norm", F.concat(body, mark))
-    return df.withColumn("norm_short", F.substring("norm", 1, t.SHORT_CHARS)).select(*keep)
+    return df.withColumn("norm_short", t.cut(F.col("norm"), limits.get("norm_short"))).select(*keep)
 
 
 def placeholder_profile(normalised: DataFrame, keys: list[str]) -> DataFrame:

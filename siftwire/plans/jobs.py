@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import spread
 from ..operators import corpus as c
 from ..operators import explain as x
 from ..operators import features as f
@@ -26,7 +25,7 @@ def build_corpus(sources: list[tuple[str, DataFrame]], path: str) -> DataFrame:
 
 
 def train(rows: DataFrame, work_dir: str | None = None, id_col: str = "msg_id", max_iter: int = md.MAX_ITER,
-          min_df: dict = f.MIN_DF) -> tuple[md.Model, DataFrame]:
+          min_df: dict = f.MIN_DF, max_terms: dict | None = None) -> tuple[md.Model, DataFrame]:
     """Split, weight, fit and score the held-out part.
 
     ``rows``: id, text, label, source.  Returns the model and the held-out rows with ``p`` and
@@ -36,11 +35,11 @@ def train(rows: DataFrame, work_dir: str | None = None, id_col: str = "msg_id",
     work_dir = work_dir or shared_dir(spark, "train")
     s.with_split(rows.select(id_col, "label", "source"), id_col).write.mode("overwrite").parquet(f"{work_dir}/split")
     split = spark.read.parquet(f"{work_dir}/split")
-    f.message_terms(spread(rows), id_col, with_bias=True).write.mode("overwrite").parquet(f"{work_dir}/terms")
+    f.message_terms(rows, id_col, with_bias=True).write.mode("overwrite").parquet(f"{work_dir}/terms")
     terms = spark.read.parquet(f"{work_dir}/terms")
     train_ids = split.where("split = 'train'")
     train_terms = terms.join(train_ids.select(id_col), id_col).where(F.col("kind") != f.BIAS)
-    vocab = f.with_idf(f.vocabulary(train_terms, min_df), train_ids)
+    vocab = f.with_idf(f.vocabulary(train_terms, min_df, max_terms), train_ids)
     labels = s.with_weights(train_ids).select(id_col, "label", "weight")
     model = md.fit(train_terms, labels, vocab, work_dir, id_col, max_iter=max_iter)
     model.save(f"{work_dir}/model")
@@ -58,7 +57,7 @@ def evaluate(held: DataFrame, groups: dict = m.GROUPS) -> dict[str, DataFrame]:
 
 def probabilities(messages: DataFrame, model: md.Model, id_col: str = "msg_id", text: str = "text") -> DataFrame:
     """id, p of every message."""
-    terms = f.message_terms(spread(messages.select(id_col, text)), id_col, text, with_bias=True)
+    terms = f.message_terms(messages.select(id_col, text), id_col, text, with_bias=True)
     return md.score(terms, model, id_col).select(id_col, "p")
 
 

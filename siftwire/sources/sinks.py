@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,10 @@ CORPUS_SCHEMA = "text string, label int, source string"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder on the storage all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in local runs,
-    a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwire-")
+    """A fresh folder on the storage all executors share, which ``spark.checkpoint.dir`` names."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or pass a work folder")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
