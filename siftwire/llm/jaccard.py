@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import WordHashes, buckets, connected, cut, joined, shingles, stored, words
 
 #: Counters of the frequency sketch that orders shingles; groups of a count vector; points of a leaf.
-SKETCH, GROUPS, LEAF = 1 << 20, 24, 16
+SKETCH, GROUPS, LEAF = 1 << 20, 64, 16
 #: Texts of one tree that are searched as one block; larger trees are searched block against block.
 BLOCK = 4096
 
@@ -225,22 +225,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
 
 
-def star_pairs(forest: DataFrame, percent: int) -> DataFrame:
+def star_pairs(forest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct (u, v): each tree's most typical set with the others, where sizes and count vectors allow a link."""
-    center = forest.groupBy("seed").agg(F.max(F.struct("typical", "node", "n", "point")).alias("c"))
+    center = forest.groupBy("seed").agg(F.max(F.struct("typical", "node", "n")).alias("c"))
     stars = (forest.join(center, "seed").where(F.col("node") != F.col("c.node"))
-             .select("node", "n", "point", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.point").alias("q"))
-             .where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).dropDuplicates(["node", "other"]))
+             .where((F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
+             .select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct())
+    of = nodes.select("node", "n", "point")
+    pairs = stars.join(of.toDF("u", "n", "p"), "u").join(of.toDF("v", "m", "q"), "v")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("point", "q"))
-            u, v, n, m = (batch.column(c).to_numpy() for c in ("node", "other", "n", "m"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("p", "q"))
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
             ok = np.minimum(p, q).sum(1, dtype=np.int64) >= need(n, m, percent)
             ok |= (p == 65535).any(1) | (q == 65535).any(1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[ok]), pa.array(np.maximum(u, v)[ok])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
-    return stars.mapInArrow(bounded, "u long, v long").distinct()
+    return pairs.select("u", "v", "n", "m", "p", "q").mapInArrow(bounded, "u long, v long")
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
 
 
 def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -257,17 +263,20 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     known = names.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(known.groupBy("node").agg(F.first("n").alias("n"), F.first("typical").alias("typical"), F.first("point").alias("point"),
                                              F.min("doc_id").alias("first")), "jaccard-nodes")
-    forest = trees(seeded).join(nodes.drop("first"), "node")
-    forest = stored(forest.select("seed", "node", "n", "typical", "point"), "jaccard-trees")
-    sets = stored(sets_of(docs, forest.select("node").distinct(), width), "jaccard-sets")
+    forest = trees(seeded).join(nodes.select("node", "n", "typical"), "node")
+    forest = stored(forest.select("seed", "node", "n", "typical"), "jaccard-trees")
 
-    stars = stored(star_pairs(forest, percent), "jaccard-star-pairs")
+    stars = stored(star_pairs(forest, nodes, percent), "jaccard-star-pairs")
+    sets = stored(sets_of(docs, members(stars), width), "jaccard-sets")
     links = stored(verified(stars, sets, percent), "jaccard-stars")
     near = stored(connected(links, "jaccard-cc"), "jaccard-near")
     rest = forest.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
                   .where("x < y AND m > 2").select("seed", "m"))
-    pairs = stored(open_pairs(rest.join(open_trees, "seed"), percent).join(stars, ["u", "v"], "left_anti"), "jaccard-pairs")
+    rest = rest.join(open_trees, "seed").join(nodes.select("node", "point"), "node")
+    pairs = stored(open_pairs(rest, percent).join(stars, ["u", "v"], "left_anti"), "jaccard-pairs")
+    more = members(pairs).join(members(stars), "node", "left_anti")
+    sets = sets.union(stored(sets_of(docs, more, width), "jaccard-sets"))
     links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
     # rows that share an id are one document: their sets are linked too
     shared = known.select("doc_id", "node").distinct()
