@@ -25,6 +25,8 @@ from .common import WordHashes, buckets, connected, cut, joined, shingles, store
 SKETCH, GROUPS, LEAF = 1 << 20, 64, 16
 #: Texts of one tree that are searched as one block; larger trees are searched block against block.
 BLOCK = 4096
+#: Trees of so many texts are searched row by row.
+SMALL = 48
 
 
 ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
@@ -291,6 +293,18 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"))
 
 
+def _key(batch: pa.RecordBatch, at: int) -> tuple:
+    at %= len(batch)
+    return tuple(batch.column(c)[at].as_py() for c in ("seed", "i", "j"))
+
+
+def _start_of_last(batch: pa.RecordBatch) -> int:
+    """Where the last tree of a batch begins."""
+    same = np.logical_and.reduce([batch.column(c).to_numpy() == batch.column(c)[-1].as_py() for c in ("seed", "i", "j")])
+    other = np.flatnonzero(~same)
+    return int(other[-1]) + 1 if len(other) else 0
+
+
 def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """Distinct (u, v) of different components in one tree that the count vectors can't rule out.
 
@@ -304,33 +318,56 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
     groups = F.pmod(F.xxhash64("seed", "i", "j"), int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-        last = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            df = batch.to_pandas()
-            keys = df[["seed", "i", "j"]].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(df) else []
-            for s, e in zip(edges, [*edges[1:], len(df)], strict=True):
-                key = tuple(keys[s])
-                if key != last and held:
-                    yield from search(pd.concat(held))
-                    held = []
-                last = key
-                held.append(df.iloc[s:e])
-        if held:
-            yield from search(pd.concat(held))
-
-    def search(df: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        n, node, of = (df[c].to_numpy() for c in ("n", "node", "component"))
-        points = np.frombuffer(b"".join(df["point"]), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-        points[points == 65535] = 1 << 40  # such counts may be larger and rule nothing out
-        i, j = df["i"].iat[0], df["j"].iat[0]
-        a, b = (np.flatnonzero(df["own"].to_numpy() == x) for x in (i, j))
-        for x, y in tree_pairs(points[a], n[a], points[b], n[b], percent):
-            u, v = node[a[x]], node[b[y]]
-            keep = (of[a[x]] != of[b[y]]) & ((u < v) | (i != j))
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[keep]), pa.array(np.maximum(u, v)[keep])], names=["u", "v"])
+            if not len(batch):
+                continue
+            start = _start_of_last(batch)
+            held.append(batch.slice(0, start))
+            # rows before the batch's last tree are complete once a new tree begins
+            if start:
+                yield from search(held)
+                held = []
+            elif len(held) > 1 and _key(held[-2], -1) != _key(batch, 0):
+                yield from search(held[:-1])
+                held = []
+            held.append(batch.slice(start))
+        yield from search(held)
+
+    def search(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([x for x in batches if len(x)]) if any(map(len, batches)) else None
+        if table is None:
+            return
+        seed, i, j, own, n, node, of = (table.column(c).to_numpy() for c in ("seed", "i", "j", "own", "n", "node", "component"))
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        first = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        end = np.append(first[1:], len(seed))
+        small = end - first <= SMALL
+        found = []
+        # small trees: each row against those behind it in its tree, all trees of the batch at once
+        last = np.repeat(end, end - first)
+        row = np.flatnonzero(np.repeat(small, end - first))
+        times = last[row] - row - 1
+        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // 2_000_000)):
+            a = np.repeat(row[part], times[part])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+            ok = (of[a] != of[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            a, b = a[ok], b[ok]
+            ok = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) >= need(n[a], n[b], percent)
+            ok |= (points[a] == 65535).any(1) | (points[b] == 65535).any(1)
+            found.append((a[ok], b[ok]))
+        for s, e in zip(first[~small].tolist(), end[~small].tolist(), strict=True):
+            wide = points[s:e].astype(np.int64)
+            wide[wide == 65535] = 1 << 40  # such counts may be larger and rule nothing out
+            left, right = (np.flatnonzero(own[s:e] == x) for x in (i[s], j[s]))
+            for x, y in tree_pairs(wide[left], n[s:e][left], wide[right], n[s:e][right], percent):
+                a, b = s + left[x], s + right[y]
+                ok = (of[a] != of[b]) & ((node[a] < node[b]) | (i[s] != j[s]))
+                found.append((a[ok], b[ok]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     dealt = dealt.repartition(groups).sortWithinPartitions("seed", "i", "j")
     return dealt.mapInArrow(run, "u long, v long").distinct()
