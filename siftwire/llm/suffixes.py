@@ -26,6 +26,10 @@ LENGTH, HEAD = 50, 16
 WINDOW = LENGTH - HEAD + 1
 #: Bytes that are hashed at a time; one document in so many is read for the splitters; bits of the document filter.
 SLICE, SAMPLED, FILTER_BITS = 1 << 21, 64, 27
+#: Rows of a slice at most: they are numbered in 16 bits.
+ROWS = 50_000
+#: Bytes that a string has in common with another on one side of its anchor at least, besides the head.
+SIDE = (LENGTH - HEAD + 1) // 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What becomes of an anchor: all its strings go, its strings are to be compared, they only serve as earlier ones.
 GONE, OPEN, EARLIER = 0, 1, 2
@@ -55,6 +59,7 @@ class Text:
         b = np.frombuffer(b"".join(texts), np.uint8)
         self.row = self.first = self.last = np.zeros(0, np.int64)
         self.head = self.around = self.strings = np.zeros(0, np.uint64)
+        self.left = self.right = np.zeros(0, np.uint16)
         if len(b) < LENGTH:
             return
         heads, self.strings = _grams(b, _A)
@@ -75,7 +80,10 @@ class Text:
         self.last = start[np.append(k[1:], len(start)) - 1] if len(k) else self.first
         self.row = row[self.first]
         place = anchor[self.first]
-        self.head = heads[place]
+        self.head = heads[place] >> np.uint64(16)
+        # a string that starts elsewhere too has half of its other bytes in common there, before or behind the head
+        self.left = (mixed(heads[np.maximum(place - SIDE, 0)] * _B + heads[place]) >> np.uint64(48)).astype(np.uint16)
+        self.right = (mixed(heads[np.minimum(place + SIDE, len(heads) - 1)] * _B + heads[place]) >> np.uint64(48)).astype(np.uint16)
         shape = ((self.last - self.first) << 8 | (place - self.first)).astype(np.uint64)
         self.around = mixed(self.strings[self.first] * _A + self.strings[self.last] * _B + shape)
 
@@ -93,7 +101,7 @@ def slices(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list
             part = batch.slice(k, 256)
             for values in zip(*(part.column(c).to_pylist() for c in (*names, "text")), strict=True):
                 text = (values[-1] or "").encode("utf-8", "surrogatepass")
-                if held and held + len(text) > SLICE:
+                if held and (held + len(text) > SLICE or len(columns[0]) >= ROWS):
                     yield columns
                     columns, held = [[] for _ in columns], 0
                 for column, value in zip(columns, (*values[:-1], text), strict=True):
@@ -119,7 +127,7 @@ def splitters(docs: DataFrame, n: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "head long")
     heads = np.sort(np.array([r["head"] for r in sample.orderBy(F.xxhash64("head"), "head").limit(200_000).collect()], np.int64).astype(np.uint64))
-    return heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) >= n else np.linspace(0, 2 ** 64, n + 1)[1:-1].astype(np.uint64)
+    return heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) >= n else np.linspace(0, 2 ** 48, n + 1)[1:-1].astype(np.uint64)
 
 
 def _least(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +140,20 @@ def _least(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _ends(of: np.ndarray, side: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest document among the rows with the same head and side."""
+    key = of.astype(np.uint64) << np.uint64(16) | side
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    size = np.diff(np.append(at, len(key)))
+    low, high = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    low[order], high[order] = (np.repeat(f.reduceat(doc[order], at), size) for f in (np.minimum, np.maximum))
+    return low, high
+
+
 _BLOB = "bucket int, kind int, docs binary, a binary, b binary"
+#: An anchor on its way to its bucket: head in 32 and 16 bits, surroundings, both sides, number of its document in the blob.
+_ANCHOR = np.dtype([("head", "<u4"), ("more", "<u2"), ("around", "<u8"), ("left", "<u2"), ("right", "<u2"), ("row", "<u2")])
 
 
 def _out(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,10 +185,17 @@ def anchors(docs: DataFrame, cuts: np.ndarray, n: int) -> DataFrame:
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = doc > least
             rows = [(b, 10 + GONE, x, y, b"") for b, (x, y) in cut([doc[gone], (head ^ around)[gone]], _group(doc[gone], n), n)]
-            head, around, doc = head[new], around[new], doc[new]
+            order, head, around, doc = order[new], head[new], around[new], doc[new]
+            packed = np.zeros(len(order), _ANCHOR)
+            packed["head"], packed["more"], packed["around"] = head >> np.uint64(16), head & np.uint64(0xFFFF), around
+            packed["left"], packed["right"] = found.left[order], found.right[order]
             low, high = np.searchsorted(shared.value, head, "left"), np.searchsorted(shared.value, head, "right")
             to = low + (around % (high - low + 1).astype(np.uint64)).astype(np.int64)  # a head that splitters repeat is spread over its buckets
-            rows += [(b, 0, x, y, z) for b, (x, y, z) in cut([doc, head, around], to, n)]
+            for b, (x, y) in cut([doc, packed], to, n):
+                ids, at = np.unique(np.frombuffer(x, np.int64), return_inverse=True)
+                part = np.frombuffer(y, _ANCHOR).copy()
+                part["row"] = at
+                rows.append((b, 0, ids.tobytes(), part.tobytes(), b""))
             yield _out(rows)
 
     return docs.mapInArrow(run, _BLOB)
@@ -178,20 +206,29 @@ def judged(dealt: DataFrame, cuts: np.ndarray, n: int) -> DataFrame:
     shared = dealt.sparkSession.sparkContext.broadcast(cuts)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        doc, head, around = joined(group["docs"], np.int64), joined(group["a"], np.uint64), joined(group["b"], np.uint64)
+        ready = group["kind"] >= 10
+        done = list(group[ready].itertuples(index=False, name=None))
+        group = group[~ready]
+        if not len(group):
+            return _frame(done)
+        rows = joined(group["a"], _ANCHOR)
+        doc = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(a, _ANCHOR)["row"]] for d, a in zip(group["docs"], group["a"], strict=True)])
+        head, around = rows["head"].astype(np.uint64) << np.uint64(16) | rows["more"], rows["around"]
         order, new = _least(head, around, doc)
-        doc, head, around = doc[order], head[order], around[order]
+        doc, head, around, left, right = doc[order], head[order], around[order], rows["left"][order], rows["right"][order]
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         run_ = np.concatenate([[True], head[1:] != head[:-1]])
         at = np.flatnonzero(run_)
         of = np.cumsum(run_) - 1
-        low, high = np.minimum.reduceat(doc, at)[of], np.maximum.reduceat(doc, at)[of]
         kinds = np.add.reduceat(new.astype(np.int64), at)[of]
         met = np.isin(head, shared.value)
-        status = np.where(doc > least, GONE, np.where((doc > low) | met, OPEN, EARLIER))
-        # with one kind of surroundings there is nothing left to compare, nor with one document
-        keep = (status == GONE) | (((kinds > 1) & (high > low) | met) & new)
-        return _frame([(b, 10 + s, x, y, b"") for s in (GONE, OPEN, EARLIER) for pick in [keep & (status == s)]
+        before, behind = (_ends(of, side, doc) for side in (left, right))
+        opened = (doc > before[0]) | (doc > behind[0]) | met
+        earlier = (doc < before[1]) | (doc < behind[1]) | met
+        status = np.where(doc > least, GONE, np.where(opened, OPEN, EARLIER))
+        # with one kind of surroundings there is nothing left to compare, nor where no other document shares a side
+        keep = (status == GONE) | ((kinds > 1) | met) & (opened | earlier) & new
+        return _frame(done + [(b, 10 + s, x, y, b"") for s in (GONE, OPEN, EARLIER) for pick in [keep & (status == s)]
                        for b, (x, y) in cut([doc[pick], (head ^ around)[pick]], _group(doc[pick], n), n)])
 
     return dealt.groupBy("bucket").applyInPandas(run, _BLOB)
@@ -317,8 +354,7 @@ def removed(docs: DataFrame) -> DataFrame:
     n = buckets(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = splitters(docs, n)
-    dealt = stored(anchors(docs, cuts, n), "suffix-anchors")
-    news = stored(judged(dealt.where("kind = 0"), cuts, n).union(dealt.where("kind >= 10")), "suffix-news")
+    news = stored(judged(anchors(docs, cuts, n), cuts, n), "suffix-news")
     strings = stored(compared(flagged(docs, news.where(f"kind <> {10 + GONE}")), news, n), "suffix-strings")
     gone = stored(news.where(f"kind = {10 + GONE}").union(strings.where("kind = 20")).union(settled(strings, n)), "suffix-gone")
 
