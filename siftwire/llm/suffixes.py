@@ -327,13 +327,16 @@ def _chunks(left: pd.DataFrame) -> Iterator[tuple[list, list[bytes]]]:
 def settled(strings: DataFrame, n: int) -> DataFrame:
     """The strings that also start in an earlier document, by document group."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        ready = group["kind"] == 20
+        done = list(group[ready].itertuples(index=False, name=None))
+        group = group[~ready]
         doc, one, two = joined(group["docs"], np.int64), joined(group["a"], np.uint64), joined(group["b"], np.uint64)
         order, new = _least(one, two, doc)
         doc, one = doc[order], one[order]
         gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return _frame([(b, 20, x, y, b"") for b, (x, y) in cut([doc[gone], one[gone]], _group(doc[gone], n), n)])
+        return _frame(done + [(b, 20, x, y, b"") for b, (x, y) in cut([doc[gone], one[gone]], _group(doc[gone], n), n)])
 
-    return strings.where("kind = 30").groupBy("bucket").applyInPandas(run, _BLOB)
+    return strings.groupBy("bucket").applyInPandas(run, _BLOB)
 
 
 def spans(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +347,17 @@ def spans(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + LENGTH
 
 
+def _by_doc(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in order and what was sent to each."""
+    doc, sent = joined(rows["docs"], np.int64), joined(rows["a"], np.uint64)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], sent[order]
+
+
+def _of(sent: tuple[np.ndarray, np.ndarray], doc: int) -> np.ndarray:
+    return sent[1][slice(*np.searchsorted(sent[0], [doc, doc + 1]))]
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and begins and ends of the removed spans, of every document.
 
@@ -355,13 +369,13 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = splitters(docs, n)
     news = stored(judged(anchors(docs, cuts, n), cuts, n), "suffix-news")
-    strings = stored(compared(flagged(docs, news.where(f"kind <> {10 + GONE}")), news, n), "suffix-strings")
-    gone = stored(news.where(f"kind = {10 + GONE}").union(strings.where("kind = 20")).union(settled(strings, n)), "suffix-gone")
+    strings = compared(flagged(docs, news.where(f"kind <> {10 + GONE}")), news, n)
+    gone = stored(news.where(f"kind = {10 + GONE}").union(settled(strings, n)), "suffix-gone")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         kind = right["kind"].to_numpy()
-        whole = joined(right["docs"][kind == 10 + GONE], np.int64), joined(right["a"][kind == 10 + GONE], np.uint64)
-        single = np.sort(mixed(joined(right["a"][kind == 20], np.uint64)) + mixed(joined(right["docs"][kind == 20], np.uint64)) * _B)
+        whole = _by_doc(right[kind == 10 + GONE])
+        single = _by_doc(right[kind == 20])
         out = []
         for doc, raw, size, sha in zip(left["doc_id"], left["bytes"], left["size"], left["sha"], strict=True):
             doc = None if pd.isna(doc) else int(doc)
@@ -371,11 +385,11 @@ def removed(docs: DataFrame) -> DataFrame:
             starts = []
             for offset, piece in _pieces(raw):
                 found = Text([piece])
-                d = np.array([doc], np.int64)
                 mark = np.zeros(len(found.strings), bool)
-                mark[found.windows(np.flatnonzero(_members(found, d, *whole)))] = True
-                if len(single) and len(mark):
-                    mark |= np.isin(mixed(mixed(found.strings)) + mixed(d.astype(np.uint64)) * _B, single)
+                mark[found.windows(np.flatnonzero(np.isin(found.head ^ found.around, _of(whole, doc))))] = True
+                alone = _of(single, doc)
+                if len(alone):
+                    mark |= np.isin(mixed(found.strings), alone)
                 starts.append(np.flatnonzero(mark) + offset)
             begin, end = spans(raw, np.unique(np.concatenate(starts)))
             kept, last = [], 0
