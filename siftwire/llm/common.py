@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that a task remembers with their hash before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def importable(spark: SparkSession) -> None:

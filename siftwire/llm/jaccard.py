@@ -348,7 +348,7 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
         last = np.repeat(end, end - first)
         row = np.flatnonzero(np.repeat(small, end - first))
         times = last[row] - row - 1
-        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // 2_000_000)):
+        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // 100_000)):
             a = np.repeat(row[part], times[part])
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
             ok = (of[a] != of[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)

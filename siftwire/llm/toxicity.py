@@ -27,7 +27,7 @@ from .common import stored
 
 SPAN, DECAY, POWER, LENGTH, HEAD = 7, 0.5, 4, 24, 6
 #: Segments that a task remembers with their margin before it starts afresh.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 250_000
 #: Digits read as the letters they stand in for inside words.
 DIGITS = str.maketrans("0134578", "oieastb")
 
