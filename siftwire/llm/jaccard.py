@@ -25,11 +25,14 @@ from .common import WordHashes, buckets, connected, cut, joined, shingles, store
 SKETCH, GROUPS, LEAF = 1 << 20, 64, 16
 #: Texts of one tree that are searched as one block; larger trees are searched block against block.
 BLOCK = 4096
+#: Sets of more shingles carry a second count vector of so many groups: with few groups all large sets look alike.
+LARGE, WIDE = 1000, 1024
 #: Trees of so many texts are searched row by row.
 SMALL = 48
 
 
 ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
+WIDE_ROW = np.dtype([("node", np.int64), ("wide", np.uint8, WIDE)])
 SEED = np.dtype([("seed", np.uint64), ("node", np.int64)])
 #: Bits of the filter that tells which sets are in some tree; at worst it lets all of them through.
 FILTER_BITS = 26
@@ -87,7 +90,7 @@ def point(s: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
-    """(bucket, rows): each document's attributes in bucket -1, and (shingle, node) of its rarest shingles dealt by shingle.
+    """(bucket, rows): each document's attributes in bucket -1, count vectors of large sets in bucket -2, and (shingle, node) of its rarest shingles dealt by shingle.
 
     Of texts with one set that a task meets, one gives its shingles.
     """
@@ -97,7 +100,7 @@ def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buck
         seen, rank, done = WordHashes(), shared.value, set()
         for batch in batches:
             for k in range(0, len(batch), 2000):
-                part, out = batch.slice(k, 2000), []
+                part, out, wide = batch.slice(k, 2000), [], []
                 ids = part.column("doc_id").to_pylist()
                 attrs = np.zeros(len(part), ATTR)
                 for i, s in enumerate(_sets(part.column("text"), width, seen)):
@@ -109,10 +112,14 @@ def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buck
                     attrs[i]["typical"], attrs[i]["point"] = level.mean() * 1000, point(s)
                     if node not in done:
                         done.add(node)
+                        if len(s) > LARGE:
+                            one = np.zeros(1, WIDE_ROW)
+                            one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255)
+                            wide.append(one)
                         row = np.zeros(prefix_length(len(s), percent), SEED)
                         row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
                         out.append(row)
-                found = [(-1, attrs.tobytes())]
+                found = [(-1, attrs.tobytes()), (-2, np.concatenate([np.zeros(0, WIDE_ROW), *wide]).tobytes())]
                 if out:
                     rows = np.concatenate(out)
                     found += [(b, raw) for b, (raw,) in cut([rows], (rows["seed"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
@@ -132,7 +139,35 @@ def attributes(seeded: DataFrame) -> DataFrame:
                      pa.array(rows["typical"].astype(np.int64)), pa.array([p.tobytes() for p in rows["point"]], pa.binary())],
                     names=["doc_id", "node", "n", "typical", "point"])
 
-    return seeded.where("bucket < 0").select("rows").mapInArrow(run, "doc_id long, node long, n long, typical long, point binary")
+    return seeded.where("bucket = -1").select("rows").mapInArrow(run, "doc_id long, node long, n long, typical long, point binary")
+
+
+def wide_points(seeded: DataFrame) -> DataFrame:
+    """(node, wide) of every large set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("rows").to_pylist():
+                rows = np.frombuffer(raw, WIDE_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"]), pa.array([w.tobytes() for w in rows["wide"]], pa.binary())], names=["node", "wide"])
+
+    return seeded.where("bucket = -2").select("rows").mapInArrow(run, "node long, wide binary").groupBy("node").agg(F.first("wide").alias("wide"))
+
+
+def narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the second count vectors don't rule out either; others than two large sets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if a is None or b is None:
+                    ok.append(True)
+                    continue
+                p, q = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+                ok.append(bool(p.max() == 255 or q.max() == 255 or np.minimum(p, q).sum() >= need(p.sum(), q.sum(), percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    rows = pairs.join(wide.toDF("u", "a"), "u", "left").join(wide.toDF("v", "b"), "v", "left")
+    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def trees(seeded: DataFrame) -> DataFrame:
@@ -268,18 +303,26 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     forest = trees(seeded).join(nodes.select("node", "n", "typical"), "node")
     forest = stored(forest.select("seed", "node", "n", "typical"), "jaccard-trees")
 
-    stars = stored(star_pairs(forest, nodes, percent), "jaccard-star-pairs")
-    sets = stored(sets_of(docs, members(stars), width), "jaccard-sets")
-    links = stored(verified(stars, sets, percent), "jaccard-stars")
+    # small trees are searched whole; of large ones first a star, then what it leaves unconnected
+    wide = stored(wide_points(seeded), "jaccard-wide")
+    sizes = forest.groupBy("seed").agg(F.count("*").alias("m"))
+    large = forest.join(sizes.where(F.col("m") > SMALL).select("seed"), "seed", "left_semi")
+    point = nodes.select("node", "point")
+    small = forest.join(sizes.where(F.col("m") <= SMALL), "seed").drop("typical").withColumn("component", F.col("node")).join(point, "node")
+    first = star_pairs(large, nodes, percent).union(open_pairs(small, percent)).distinct()
+    first = stored(narrowed(first, wide, percent), "jaccard-pairs")
+    sets = stored(sets_of(docs, members(first), width), "jaccard-sets")
+    links = stored(verified(first, sets, percent), "jaccard-links")
     near = stored(connected(links, "jaccard-cc"), "jaccard-near")
-    rest = forest.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = large.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
-                  .where("x < y AND m > 2").select("seed", "m"))
-    rest = rest.join(open_trees, "seed").join(nodes.select("node", "point"), "node")
-    pairs = stored(open_pairs(rest, percent).join(stars, ["u", "v"], "left_anti"), "jaccard-pairs")
-    more = members(pairs).join(members(stars), "node", "left_anti")
-    sets = sets.union(stored(sets_of(docs, more, width), "jaccard-sets"))
-    links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
+                  .where("x < y").select("seed", "m"))
+    pairs = open_pairs(rest.join(open_trees, "seed").join(point, "node"), percent).join(first, ["u", "v"], "left_anti")
+    pairs = stored(narrowed(pairs, wide, percent), "jaccard-pairs")
+    if pairs.take(1):
+        more = members(pairs).join(members(first), "node", "left_anti")
+        sets = sets.union(stored(sets_of(docs, more, width), "jaccard-sets"))
+        links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
     # rows that share an id are one document: their sets are linked too
     shared = known.select("doc_id", "node").distinct()
     twice = shared.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("k")).where("k > 1")
