@@ -140,6 +140,10 @@ def _least(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+#: A string on its way to its bucket: hash, part of a second hash, number of its document in the blob.
+_STRING = np.dtype([("one", "<u8"), ("two", "<u4"), ("row", "<u4")])
+
+
 def _ends(of: np.ndarray, side: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest document among the rows with the same head and side."""
     key = of.astype(np.uint64) << np.uint64(16) | side
@@ -292,7 +296,7 @@ def compared(texts: DataFrame, news: DataFrame, n: int) -> DataFrame:
                 at = found.windows(use)
                 rows = np.repeat(use, found.last[use] - found.first[use] + 1)
                 one.append(mixed(found.strings[at]))
-                two.append(_grams(np.frombuffer(b"".join(chunk), np.uint8), _B)[1][at])
+                two.append((mixed(_grams(np.frombuffer(b"".join(chunk), np.uint8), _B)[1][at]) >> np.uint64(32)).astype(np.uint32))
                 doc.append(d[found.row[rows]])
                 opened.append(is_open[rows])
         if not one:
@@ -304,7 +308,13 @@ def compared(texts: DataFrame, news: DataFrame, n: int) -> DataFrame:
         gone = doc > least
         rows = [(b, 20, x, y, b"") for b, (x, y) in cut([doc[gone], one[gone]], _group(doc[gone], n), n)]
         # of one string's rows in a group only the least document's can still be open or serve as earlier one
-        rows += [(b, 30, x, y, z) for b, (x, y, z) in cut([doc[new], one[new], two[new]], (one[new] % np.uint64(n)).astype(np.int64), n)]
+        packed = np.zeros(int(new.sum()), _STRING)
+        packed["one"], packed["two"] = one[new], two[new]
+        for b, (x, y) in cut([doc[new], packed], (one[new] % np.uint64(n)).astype(np.int64), n):
+            ids, at = np.unique(np.frombuffer(x, np.int64), return_inverse=True)
+            part = np.frombuffer(y, _STRING).copy()
+            part["row"] = at
+            rows.append((b, 30, ids.tobytes(), part.tobytes(), b""))
         return _frame(rows)
 
     return texts.groupBy("bucket").cogroup(news.where(f"kind IN ({10 + OPEN}, {10 + EARLIER})").groupBy("bucket")).applyInPandas(run, _BLOB)
@@ -330,7 +340,11 @@ def settled(strings: DataFrame, n: int) -> DataFrame:
         ready = group["kind"] == 20
         done = list(group[ready].itertuples(index=False, name=None))
         group = group[~ready]
-        doc, one, two = joined(group["docs"], np.int64), joined(group["a"], np.uint64), joined(group["b"], np.uint64)
+        if not len(group):
+            return _frame(done)
+        rows = joined(group["a"], _STRING)
+        doc = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(a, _STRING)["row"]] for d, a in zip(group["docs"], group["a"], strict=True)])
+        one, two = rows["one"], rows["two"]
         order, new = _least(one, two, doc)
         doc, one = doc[order], one[order]
         gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
