@@ -57,11 +57,10 @@ def link_table(df: DataFrame, id_col: str = "msg_id", text: str = "text") -> Dat
 
 
 def parse_hosts(df: DataFrame, url: str) -> DataFrame:
-    """Add raw, host and userinfo of the first link in a column."""
-    first = F.get(F.transform(h.link_matches(F.col(url)), _parsed), F.lit(0))
-    out = df.withColumn("_p", first)
-    return out.select(*df.columns, F.col("_p.raw").alias("raw"), F.col("_p.host").alias("host"),
-                      F.col("_p.userinfo").alias("userinfo"))
+    """One row per link match of a column: the table's columns, pos, raw, host and userinfo; no row without a match."""
+    rows = explode_rows(df, df.columns, F.transform(h.link_matches(F.col(url)), _parsed), "pos", "_p")
+    return rows.select(*df.columns, "pos", F.col("_p.raw").alias("raw"), F.col("_p.host").alias("host"),
+                       F.col("_p.userinfo").alias("userinfo"))
 
 
 def classify_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:

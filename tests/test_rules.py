@@ -101,3 +101,39 @@ def test_rule_job_has_no_shuffle_and_finds_links_once(spark):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     optimized = job._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_extract_all\(text#\d+, " + re.escape(h.LINK[:20]), optimized)) == 1
+
+
+def test_every_link_of_a_text_is_parsed(spark):
+    from siftwire.operators import links as ln
+
+    texts = ["see sbi.co.in and hdfc-kyc.xyz", "https://localhost/x or bit.ly/abc", "no link", "a.example.com a.example.com bit.ly/x amzn.to/y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string")
+    rows = ln.parse_hosts(df, "text").orderBy("msg_id", "pos").collect()
+    assert [(r.msg_id, r.pos, r.host) for r in rows] == [
+        (0, 0, "sbi.co.in"), (0, 1, "hdfc-kyc.xyz"), (1, 0, "localhost"), (1, 1, "bit.ly"),
+        (3, 0, "a.example.com"), (3, 1, "a.example.com"), (3, 2, "bit.ly"), (3, 3, "amzn.to")]
+
+
+def test_planning_starts_no_job_and_a_work_folder_is_required(spark):
+    from siftwire.catalog.base import docs
+    from siftwire.functions import text as t
+    from siftwire.operators.normal import with_normalised
+    from siftwire.sources.sinks import shared_dir
+
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    df = spark.range(100).selectExpr("id AS msg_id", "CAST(id AS string) AS text").groupBy("msg_id", "text").count()
+    with_normalised(df).select("norm")
+    assert len(tracker.getJobIdsForGroup(None)) == before and docs is not None
+    folder = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        if spark.conf.get("spark.checkpoint.dir", None) is None:
+            with pytest.raises(ValueError):
+                shared_dir(spark, "x")
+    finally:
+        spark.conf.set("spark.checkpoint.dir", folder)
+    long = spark.createDataFrame([(1, "a" * 7000)], "msg_id long, text string")
+    row = with_normalised(long, limits=t.SHORT_TEXTS).first()
+    assert len(row.norm) == 6000 and len(row.norm_short) == 1500 and len(with_normalised(long).first().norm_short) == 7000
+    assert len(long.select(t.clean("text", t.SHORT_TEXTS["clean"]).alias("c")).first().c) == 4000
