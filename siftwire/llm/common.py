@@ -31,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of sessions in one process, by application.
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -42,8 +46,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="siftwire-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local.setdefault(app, "") or tempfile.mkdtemp(prefix="siftwire-llm-")
+        _local[app] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
