@@ -41,6 +41,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh shared folder; a session in one process that names none gets a temporary one."""
     master = spark.sparkContext.master
-    if not spark.conf.get("spark.checkpoint.dir", None) and master.startswith("local") and not master.startswith("local-cluster"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="siftwire-"))
-    return shared_dir(spark, name)
+    if spark.conf.get("spark.checkpoint.dir", None) or not master.startswith("local") or master.startswith("local-cluster"):
+        return shared_dir(spark, name)
+    return f"{tempfile.mkdtemp(prefix='siftwire-')}/{name}"
