@@ -77,7 +77,9 @@ def fit(rows: DataFrame, d: int, k: int) -> Lists:
     measured by brute force.
     """
     n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    # ids first, then the vectors of the drawn ones, so that no task sends more vectors than are used
+    last = rows.select(F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    drawn = rows.where(F.xxhash64("vec_id") <= F.lit(last).cast("long")).orderBy(F.xxhash64("vec_id")).collect()
     ids, v = np.array([r["vec_id"] for r in drawn], np.int64), np.array([r["v"] for r in drawn]).reshape(-1, d)
     rotation, _ = np.linalg.qr(np.random.default_rng(17).normal(size=(d + 1, d + 1)))
     out = Lists(rotation, top or 0.0, np.zeros((1, d + 1)), 1, ids, v)

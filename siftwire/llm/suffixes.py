@@ -126,7 +126,7 @@ def splitters(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(head.astype(np.int64))], names=["head"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "head long")
-    heads = np.sort(np.array([r["head"] for r in sample.orderBy(F.xxhash64("head"), "head").limit(200_000).collect()], np.int64).astype(np.uint64))
+    heads = np.sort(np.array([r["head"] for r in sample.orderBy(F.xxhash64("head"), "head").limit(max(20_000, 8 * n)).collect()], np.int64).astype(np.uint64))
     return heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) >= n else np.linspace(0, 2 ** 48, n + 1)[1:-1].astype(np.uint64)
 
 
