@@ -22,11 +22,14 @@ def add(name: str, job: Job, sql: str | None = None) -> None:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """The table in as many parts as the session's ``spark.siftwire.partitions`` asks for; as it is read without it.
+    """The table in as many parts as the session's ``spark.siftwire.partitions`` asks for.
 
-    Pattern work is bound by the processor, and a table in one file with one row group is one task.
+    Pattern work is bound by the processor, and a test table is one file with one row group: one
+    task.  Unset, a session in one process deals it over its threads; a cluster reads it as it lies.
     """
-    parts = df.sparkSession.conf.get("spark.siftwire.partitions", None)
+    spark = df.sparkSession
+    alone = spark.sparkContext.master.startswith("local[")
+    parts = spark.conf.get("spark.siftwire.partitions", None) or (alone and spark.sparkContext.defaultParallelism)
     return df.repartition(int(parts)) if parts and not df.isStreaming else df
 
 

@@ -15,7 +15,7 @@ from .ranking import first_of_group
 MIN_DF = {"word": 2, "char": 3}
 MAX_TERMS = {"word": 200_000, "char": 300_000}
 #: Counted rows up to which a table of terms is broadcast; larger ones are joined by their key.
-BROADCAST_TERMS = 500_000
+BROADCAST_TERMS = 1_000_000
 BIAS = "bias"  # kind of the constant feature every message carries
 
 
