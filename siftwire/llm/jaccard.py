@@ -25,8 +25,8 @@ from .common import WordHashes, buckets, connected, cut, joined, shingles, store
 SKETCH, GROUPS, LEAF = 1 << 20, 64, 16
 #: Texts of one tree that are searched as one block; larger trees are searched block against block.
 BLOCK = 4096
-#: Sets of more shingles carry a second count vector of so many groups: with few groups all large sets look alike.
-LARGE, WIDE = 1000, 1024
+#: Groups of a second, finer count vector: with few groups large sets, and near copies, look alike.
+WIDE = 1024
 #: Trees of so many texts are searched row by row.
 SMALL = 48
 
@@ -90,7 +90,7 @@ def point(s: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
-    """(bucket, rows): each document's attributes in bucket -1, count vectors of large sets in bucket -2, and (shingle, node) of its rarest shingles dealt by shingle.
+    """(bucket, rows): each document's attributes in bucket -1, finer count vectors in bucket -2, and (shingle, node) of its rarest shingles dealt by shingle.
 
     Of texts with one set that a task meets, one gives its shingles.
     """
@@ -112,10 +112,9 @@ def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buck
                     attrs[i]["typical"], attrs[i]["point"] = level.mean() * 1000, point(s)
                     if node not in done:
                         done.add(node)
-                        if len(s) > LARGE:
-                            one = np.zeros(1, WIDE_ROW)
-                            one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255)
-                            wide.append(one)
+                        one = np.zeros(1, WIDE_ROW)
+                        one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255)
+                        wide.append(one)
                         row = np.zeros(prefix_length(len(s), percent), SEED)
                         row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
                         out.append(row)
@@ -143,7 +142,7 @@ def attributes(seeded: DataFrame) -> DataFrame:
 
 
 def wide_points(seeded: DataFrame) -> DataFrame:
-    """(node, wide) of every large set."""
+    """(node, wide) of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("rows").to_pylist():
@@ -154,7 +153,7 @@ def wide_points(seeded: DataFrame) -> DataFrame:
 
 
 def narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the second count vectors don't rule out either; others than two large sets pass."""
+    """The pairs that the finer count vectors don't rule out either."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -317,8 +316,9 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = large.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
                   .where("x < y").select("seed", "m"))
-    pairs = open_pairs(rest.join(open_trees, "seed").join(point, "node"), percent).join(first, ["u", "v"], "left_anti")
-    pairs = stored(narrowed(pairs, wide, percent), "jaccard-pairs")
+    # near copies that are no links are many pairs: the finer vectors rule them out inside the tree
+    rest = rest.join(open_trees, "seed").join(wide.withColumnRenamed("wide", "point"), "node")
+    pairs = stored(open_pairs(rest, percent, np.uint8, WIDE).join(first, ["u", "v"], "left_anti"), "jaccard-pairs")
     if pairs.take(1):
         more = members(pairs).join(members(first), "node", "left_anti")
         sets = sets.union(stored(sets_of(docs, more, width), "jaccard-sets"))
@@ -348,8 +348,8 @@ def _start_of_last(batch: pa.RecordBatch) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Distinct (u, v) of different components in one tree that the count vectors can't rule out.
+def open_pairs(rest: DataFrame, percent: int, kind: type = np.uint16, width: int = GROUPS) -> DataFrame:
+    """Distinct (u, v) of different components in one tree that the count vectors (of this type and width) can't rule out.
 
     A tree of many blocks is searched block against block, so no task holds more than two of them.
     """
@@ -382,7 +382,8 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
         if table is None:
             return
         seed, i, j, own, n, node, of = (table.column(c).to_numpy() for c in ("seed", "i", "j", "own", "n", "node", "component"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), kind).reshape(-1, width)
+        most = np.iinfo(kind).max
         first = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         end = np.append(first[1:], len(seed))
         small = end - first <= SMALL
@@ -391,17 +392,17 @@ def open_pairs(rest: DataFrame, percent: int) -> DataFrame:
         last = np.repeat(end, end - first)
         row = np.flatnonzero(np.repeat(small, end - first))
         times = last[row] - row - 1
-        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // 100_000)):
+        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // (6_400_000 // width))):
             a = np.repeat(row[part], times[part])
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
             ok = (of[a] != of[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
             a, b = a[ok], b[ok]
             ok = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) >= need(n[a], n[b], percent)
-            ok |= (points[a] == 65535).any(1) | (points[b] == 65535).any(1)
+            ok |= (points[a] == most).any(1) | (points[b] == most).any(1)
             found.append((a[ok], b[ok]))
         for s, e in zip(first[~small].tolist(), end[~small].tolist(), strict=True):
             wide = points[s:e].astype(np.int64)
-            wide[wide == 65535] = 1 << 40  # such counts may be larger and rule nothing out
+            wide[wide == most] = 1 << 40  # such counts may be larger and rule nothing out
             left, right = (np.flatnonzero(own[s:e] == x) for x in (i[s], j[s]))
             for x, y in tree_pairs(wide[left], n[s:e][left], wide[right], n[s:e][right], percent):
                 a, b = s + left[x], s + right[y]
