@@ -208,7 +208,7 @@ def train(labelled: DataFrame, n_landmarks: int = 32, min_share: float = 0.02, w
     odds = F.log((F.col("p") + 0.5) / (n[1] - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (n[0] - F.col("q") + 0.5))
     err = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     marks = (labelled.mapInArrow(count, "segment string, p long, q long").groupBy("segment").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-             .where((F.col("p") >= max(2.0, min_share * n[1])) & (F.col("p") * n[0] > 3 * F.col("q") * n[1]))
+             .where((F.col("p") >= max(4.0, min_share * n[1])) & (F.col("p") * n[0] > 3 * F.col("q") * n[1]))
              .orderBy(((odds - 1) / err).desc(), "segment").limit(20 * n_landmarks).collect())
     landmarks = distinct_stems([(r["segment"], r["p"]) for r in marks], n_landmarks)
     if not landmarks:
