@@ -11,7 +11,7 @@ head is shared, the 50-byte strings around it are sorted and compared in the sam
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,6 +57,7 @@ class Text:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         b = np.frombuffer(b"".join(texts), np.uint8)
+        assert len(b) < 1 << 24, "a place has 24 bits"
         self.row = self.first = self.last = np.zeros(0, np.int64)
         self.head = self.around = self.strings = np.zeros(0, np.uint64)
         self.left = self.right = np.zeros(0, np.uint16)
@@ -120,8 +121,8 @@ def _pieces(text: bytes) -> list[tuple[int, bytes]]:
 def splitters(docs: DataFrame, n: int) -> np.ndarray:
     """n - 1 heads that part a sample of all anchors evenly; a frequent head appears more than once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "doc_id"):
-            head = Text([p for t in texts for _, p in _pieces(t)]).head
+        for _, texts in (c for found in slices(batches, "doc_id") for c in _chunks(*found)):
+            head = Text(texts).head
             head = head[mixed(head + np.arange(len(head), dtype=np.uint64)) % np.uint64(16) == 0]
             yield pa.RecordBatch.from_arrays([pa.array(head.astype(np.int64))], names=["head"])
 
@@ -178,12 +179,12 @@ def anchors(docs: DataFrame, cuts: np.ndarray, n: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, "doc_id"):
-            parts = [(d, p) for d, t in zip(ids, texts, strict=True) if d is not None for _, p in _pieces(t)]
-            found = Text([p for _, p in parts])
+        for ids, texts in (c for found in slices(batches, "doc_id") for c in _chunks(*found)):
+            known = [k for k, d in enumerate(ids) if d is not None]
+            found = Text([texts[k] for k in known])
             if not len(found.head):
                 continue
-            doc = np.array([d for d, _ in parts], np.int64)[found.row]
+            doc = np.array([ids[k] for k in known], np.int64)[found.row]
             order, new = _least(found.head, found.around, doc)
             head, around, doc = found.head[order], found.around[order], doc[order]
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -268,7 +269,7 @@ def flagged(docs: DataFrame, news: DataFrame) -> DataFrame:
             on = (shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) & np.array([d is not None for d in ids])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_group(doc, n), pa.int32()), pa.array(ids, pa.int64()), pa.array([t if o else None for t, o in zip(texts, on, strict=True)], pa.binary()),
-                 pa.array([len(t) for t in texts], pa.int64()), pa.array([None if o else hashlib.sha256(t).hexdigest() for t, o in zip(texts, on, strict=True)])],
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array([None if o else hashlib.sha256(t).hexdigest() for t, o in zip(texts, on, strict=True)], pa.string())],
                 names=["bucket", "doc_id", "bytes", "size", "sha"])
 
     return docs.mapInArrow(run, "bucket int, doc_id long, bytes binary, size long, sha string")
@@ -287,7 +288,7 @@ def compared(texts: DataFrame, news: DataFrame, n: int) -> DataFrame:
         kind = right["kind"].to_numpy()
         pairs = {k: (joined(right["docs"][kind == 10 + k], np.int64), joined(right["a"][kind == 10 + k], np.uint64)) for k in (OPEN, EARLIER)}
         one, two, doc, opened = [], [], [], []
-        for ids, chunk in _chunks(left):
+        for ids, chunk in _chunks(left["doc_id"], left["bytes"]):
             found = Text(chunk)
             d = np.array(ids, np.int64)
             is_open = _members(found, d, *pairs[OPEN])
@@ -320,11 +321,12 @@ def compared(texts: DataFrame, news: DataFrame, n: int) -> DataFrame:
     return texts.groupBy("bucket").cogroup(news.where(f"kind IN ({10 + OPEN}, {10 + EARLIER})").groupBy("bucket")).applyInPandas(run, _BLOB)
 
 
-def _chunks(left: pd.DataFrame) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(docs: Iterable, whole: Iterable[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+    """The texts' pieces with their documents, about SLICE bytes or one piece at a time."""
     ids, texts, held = [], [], 0
-    for d, t in zip(left["doc_id"], left["bytes"], strict=True):
+    for d, t in zip(docs, whole, strict=True):
         for _, p in _pieces(t):
-            ids.append(int(d))
+            ids.append(d if d is None else int(d))
             texts.append(p)
             held += len(p)
             if held > SLICE:

@@ -93,6 +93,32 @@ def test_substrings_against_brute_force(spark):
     assert suffixes.removed(df.limit(0)).count() == 0
 
 
+def test_substrings_of_texts_beyond_16_mib(spark):
+    long = np.random.default_rng(7).integers(97, 123, 17_500_000, np.uint8).tobytes()
+    late = b"#" * 60 + long[17_000_000:17_000_050] + b"$" * 60
+    docs = [(0, long), (1, long), (2, b"%" * 1000 + long[3:]), (3, late)]
+    got = {r.doc_id: r for r in suffixes.removed(spark.createDataFrame([(d, t.decode()) for d, t in docs], "doc_id long, text string")).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[1].n_spans) == (0, len(long), 1)
+    for d, t in docs[2:]:
+        mark = np.zeros(len(t), bool)
+        for i in [*range(min(1100, len(t) - 49))]:
+            mark[i:i + 50] |= t[i:i + 50] in long
+        if d == 2:
+            mark[1000:] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~mark])
+        assert (got[d].n_removed, got[d].kept_sha256) == (int(mark.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_substrings_in_batches_of_one_text(spark):
+    docs = [(k, "every text here is the same text of more than fifty letters") for k in range(3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = sorted(tuple(r)[:5] for r in suffixes.removed(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_removed(docs)
+
+
 def shingle_set(text, width):
     w = (text or "").encode().lower().split()
     return {tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
