@@ -2,7 +2,7 @@
 
 Counts cover all training texts.  Words with a fixed share of all tokens are few at any size: their
 counts travel with the tasks.  The others meet their texts' words in buckets by word hash, and
-each bucket returns sums by text, so that no table of all words is held anywhere.
+each bucket returns sums and classes by text, so that no table of all words is held anywhere.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from .common import WordHashes, buckets, cut, in_fold, joined, stored, words
 
 #: A word with this share of the training tokens travels with the tasks; at most 100,000 words can have it.
 FREQUENT = 1e-5
-#: A word with this share is clustered by itself, at most 1,000; the others by their last two bytes, in 256 kinds.
+#: A word with this share is exchanged by itself, at most 1,000; the others start from their last two bytes, in 256 kinds.
 OWN, ENDINGS = 1e-3, 256
 CLASSES, SWEEPS, ADD = 32, 6, 0.1
+#: Rounds in which all counted words move.
+ROUNDS = 2
 END = 0
 
 
@@ -75,11 +77,10 @@ def counts(docs: DataFrame, folds: int, n_buckets: int) -> DataFrame:
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         k, v = summed(joined(group["keys"], np.uint64), joined(group["counts"], np.uint32).astype(np.int64))
-        return pd.DataFrame({"bucket": [group["bucket"].iat[0]], "keys": [k.tobytes()], "counts": [v.tobytes()], "total": [int(v.sum())], "distinct": [len(k)],
-                             "endings": [np.bincount((k & np.uint64(ENDINGS - 1)).astype(np.int64), minlength=ENDINGS).tolist()]})
+        return pd.DataFrame({"bucket": [group["bucket"].iat[0]], "keys": [k.tobytes()], "counts": [v.tobytes()], "total": [int(v.sum())], "distinct": [len(k)]})
 
     return (docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, counts binary").groupBy("bucket")
-            .applyInPandas(add, "bucket int, keys binary, counts binary, total long, distinct long, endings array<long>"))
+            .applyInPandas(add, "bucket int, keys binary, counts binary, total long, distinct long"))
 
 
 def frequent(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -111,30 +112,190 @@ class Units:
         return np.where(own, at, len(self.keys) + (tokens & np.uint64(ENDINGS - 1)).astype(np.int64))
 
 
-def pairs(docs: DataFrame, folds: int, units: Units) -> np.ndarray:
-    """How often each unit follows each other one in the training texts, END before and after every text."""
-    n, shared = len(units), docs.sparkSession.sparkContext.broadcast(units)
+RARE = 0xFFFFFFFF
+_BLOBS = "bucket int, kind int, a binary, b binary, c binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "kind", "a", "b", "c"])
+
+
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+
+
+def coded(docs: DataFrame, folds: int, keys: np.ndarray) -> DataFrame:
+    """(ids, rare): the training texts' words, END before and after each text, as places in ``keys``; words not in it follow in ``rare``."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = Hashes(), np.zeros(n * n, np.int64)
+        seen, often = Hashes(), shared.value
         for batch in batches:
             for i in range(0, len(batch), 500):
                 rows = zip(batch.column("doc_id").slice(i, 500).to_pylist(), batch.column("text").slice(i, 500).to_pylist(), strict=True)
                 texts = [x for d, t in rows if not in_fold(d, folds) for x in (seen.of(words(t)), np.full(1, END, np.uint64))]
                 if texts:
-                    unit = shared.value.of(np.concatenate([np.full(1, END, np.uint64), *texts]))
-                    total += np.bincount(unit[:-1] * n + unit[1:], minlength=n * n)
+                    found = np.concatenate([np.full(1, END, np.uint64), *texts])
+                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                    rare = often[at] != found
+                    ids = np.where(rare, RARE, at).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([found[rare].tobytes()], pa.binary())], names=["ids", "rare"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "ids binary, rare binary")
+
+
+def pairs(tokens: DataFrame, keys: np.ndarray, units: Units) -> np.ndarray:
+    """How often each unit follows each other one in the training texts, END before and after every text."""
+    n, first = len(units), len(units.keys)
+    shared = tokens.sparkSession.sparkContext.broadcast(units.of(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for x, y in zip(batch.column("ids").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                ids = np.frombuffer(x, np.uint32)
+                rare = ids == RARE
+                unit = shared.value[np.where(rare, 0, ids)]
+                unit[rare] = first + (np.frombuffer(y, np.uint64) & np.uint64(ENDINGS - 1)).astype(np.int64)
+                total += np.bincount(unit[:-1] * n + unit[1:], minlength=n * n)
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in total.reshape(n, n)], pa.binary())], names=["unit", "next"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"unit": [group["unit"].iat[0]], "next": [sum(np.frombuffer(x, np.int64) for x in group["next"]).tobytes()]})
 
     out = np.zeros((n, n), np.int64)
-    for r in docs.select("doc_id", "text").mapInArrow(run, "unit int, next binary").groupBy("unit").applyInPandas(add, "unit int, next binary").collect():
+    for r in tokens.mapInArrow(run, "unit int, next binary").groupBy("unit").applyInPandas(add, "unit int, next binary").collect():
         out[r["unit"]] = np.frombuffer(r["next"], np.int64)
     return out
 
 
+def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.ndarray, n: int) -> DataFrame:
+    """(bucket, keys, classes, cells, counts, table): of every word, how often each class follows and precedes it.
+
+    ``keys`` and ``classes`` are those of the frequent words.  The class of another neighbour is
+    looked up in that neighbour's bucket.  A cell is the word's place times 2 CLASSES plus the class,
+    CLASSES more if it precedes; ``table`` has the bucket's share of the class bigrams.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast((keys, classes))
+    wide = 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch], distant: bool) -> Iterator[pa.RecordBatch]:
+        often, of = shared.value
+        dense = np.zeros(0 if distant else len(often) * wide, np.uint32)
+
+        def sent(ids: list[np.ndarray], every: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            met = [[], [], []]
+            near = [[], []]
+            for i, k in zip(ids, every, strict=True):
+                for shift, target, other in ((0, slice(None, -1), slice(1, None)), (CLASSES, slice(1, None), slice(None, -1))):
+                    ti, oi, tk, ok = i[target], i[other], k[target], k[other]
+                    away = oi == RARE
+                    if distant:
+                        met[0].append(ok[away])
+                        met[1].append(tk[away])
+                        met[2].append(np.full(int(away.sum()), shift, np.uint8))
+                        continue
+                    code = of[np.where(away, 0, oi)] + shift
+                    both = ~away & (ti != RARE)
+                    np.add.at(dense, ti[both].astype(np.int64) * wide + code[both], 1)
+                    mine = ~away & (ti == RARE)
+                    near[0].append(tk[mine])
+                    near[1].append(code[mine].astype(np.uint8))
+            if distant:
+                ok, tk, shift = map(np.concatenate, met)
+                out = [(b, 0, *raw) for b, raw in cut([ok, tk, shift], _bucket(ok, n), n)]
+            else:
+                tk, code = map(np.concatenate, near)
+                out = [(b, 1, *raw, b"") for b, raw in cut([tk, code], _bucket(tk, n), n)]
+            if out:
+                yield _batch(out)
+
+        ids, every, held = [], [], 0
+        for batch in batches:
+            for x, y in zip(batch.column("ids").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                i = np.frombuffer(x, np.uint32)
+                k = often[np.where(i == RARE, 0, i)]
+                k[i == RARE] = np.frombuffer(y, np.uint64)
+                ids.append(i)
+                every.append(k)
+                held += len(i)
+                if held > 1_000_000:
+                    yield from sent(ids, every)
+                    ids, every, held = [], [], 0
+        yield from sent(ids, every)
+        cell = np.flatnonzero(dense)
+        key = often[cell // wide]
+        out = [(b, 2, *raw) for b, raw in cut([key, (cell % wide).astype(np.uint8), dense[cell]], _bucket(key, n), n)]
+        if out:
+            yield _batch(out)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, of = joined(right["keys"], np.uint64), joined(right["classes"], np.uint8)
+        out = []
+        for a, b, c in zip(left["a"], left["b"], left["c"], strict=True):
+            code = of[np.searchsorted(own, np.frombuffer(a, np.uint64))] + np.frombuffer(c, np.uint8)
+            target = np.frombuffer(b, np.uint64)
+            out += [(k, 1, *raw, b"") for k, raw in cut([target, code], _bucket(target, n), n)]
+        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"])
+
+    def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, of = joined(right["keys"], np.uint64), joined(right["classes"], np.uint8)
+        cell, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b, c in zip(left["a"], left["b"], left["c"], strict=True):
+            code = np.frombuffer(b, np.uint8)
+            cell.append(np.searchsorted(own, np.frombuffer(a, np.uint64)) * wide + code)
+            times.append(np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(code), np.int64))
+        cell, times = summed(np.concatenate(cell), np.concatenate(times))
+        follows = cell % wide < CLASSES
+        table = np.bincount(of[cell[follows] // wide].astype(np.int64) * CLASSES + cell[follows] % wide, times[follows], CLASSES ** 2)
+        return pd.DataFrame({"bucket": [right["bucket"].iat[0]], "keys": [own.tobytes()], "classes": [of.tobytes()], "cells": [cell.astype(np.uint32).tobytes()],
+                             "counts": [times.astype(np.uint32).tobytes()], "table": [table.astype(np.int64).tobytes()]})
+
+    near = tokens.mapInArrow(lambda batches: run(batches, False), _BLOBS)
+    far = tokens.mapInArrow(lambda batches: run(batches, True), _BLOBS).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(meet, _BLOBS)
+    return near.union(far).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(
+        gather, "bucket int, keys binary, classes binary, cells binary, counts binary, table binary")
+
+
+def moved(found: DataFrame, table: np.ndarray, turn: int) -> DataFrame:
+    """(bucket, keys, classes): half of the words, by turns, moved to the class that makes their neighbours' classes likeliest."""
+    log = np.log(table + ADD)
+    gain = np.concatenate([log.T - np.log(table.sum(1) + ADD * CLASSES), log - np.log(table.sum(0) + ADD * CLASSES)])  # neighbour's class and side by own class
+    empty = table.sum(0) == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x, y, z, c in zip(*(batch.column(k).to_pylist() for k in ("bucket", "keys", "classes", "cells", "counts")), strict=True):
+                keys, of, cell, times = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint8).copy(), np.frombuffer(z, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32)
+                word, code = cell // (2 * CLASSES), cell % (2 * CLASSES)
+                fit = np.stack([np.bincount(word, times * gain[code, k], len(keys)) for k in range(CLASSES)], 1)
+                fit[:, empty] = -np.inf
+                best = fit.argmax(1)
+                at = np.arange(len(keys))
+                go = (fit[at, best] > fit[at, of] + 1e-9) & ((keys >> np.uint64(9)) % np.uint64(2) == turn % 2)
+                of[go] = best[go]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x], pa.binary()), pa.array([of.tobytes()], pa.binary())], names=["bucket", "keys", "classes"])
+
+    return found.select("bucket", "keys", "classes", "cells", "counts").mapInArrow(run, "bucket int, keys binary, classes binary")
+
+
+def _among(known: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Classes of the given keys, which are in order and all known."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("keys").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                own, of = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint8)
+                keep = np.isin(own, keys)
+                yield pa.RecordBatch.from_arrays([pa.array([own[keep].tobytes()], pa.binary()), pa.array([of[keep].tobytes()], pa.binary())], names=["keys", "classes"])
+
+    rows = known.select("keys", "classes").mapInArrow(run, "keys binary, classes binary").collect()
+    own, of = joined([r["keys"] for r in rows], np.uint64), joined([r["classes"] for r in rows], np.uint8)
+    return of[np.argsort(own)].astype(np.int64)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -185,38 +346,68 @@ def exchange(follow: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
 
 @dataclass
 class Model:
-    """Frequent words with counts, classes of the units, and log10 tables of the class model."""
+    """Frequent words with counts and classes, classes of END and of unseen words' endings, and log10 tables of the class model."""
 
     keys: np.ndarray
     counts: np.ndarray
-    units: Units
-    of: np.ndarray
+    classes: np.ndarray
+    end: int
+    endings: np.ndarray
     move: np.ndarray
     below: np.ndarray
     tokens: int
     distinct: int
 
 
-def train(docs: DataFrame, folds: int, table: DataFrame) -> Model:
-    """The model from the word counts of ``counts()`` and one more pass over the training texts."""
-    rows = table.select("total", "distinct", "endings").collect()
+def train(docs: DataFrame, folds: int, table: DataFrame, n: int) -> tuple[Model, DataFrame]:
+    """The model, and (bucket, keys, classes) of every counted word, from ``counts()`` and one more pass over the training texts.
+
+    Units are exchanged first, which gives each word a class to start from: its own unit's or its
+    ending's.  Then all words move by their own neighbours in rounds of written tables, as long as
+    the class bigrams get likelier, ROUNDS times at most.
+    """
+    rows = table.select("total", "distinct").collect()
     tokens, distinct = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)
     keys, number = frequent(table, max(2.0, FREQUENT * tokens))
     units = Units(np.sort(np.union1d(keys[number >= max(2.0, OWN * tokens)], np.zeros(1, np.uint64))))
-    follow = pairs(docs, folds, units)
-    of = exchange(follow)
-    one = np.eye(CLASSES)[of]
-    table_ = one.T @ follow @ one
-    # distinct words of a class: its own words, and of each ending those that are no unit themselves
-    types = np.ones(len(units))
-    types[len(units.keys):] = np.sum([r["endings"] for r in rows], 0) if rows else 0
-    np.subtract.at(types, len(units.keys) + (units.keys & np.uint64(ENDINGS - 1)).astype(np.int64), np.isin(units.keys, keys).astype(float))
-    move = np.log10((table_ + ADD) / (table_.sum(1, keepdims=True) + ADD * CLASSES))
-    below = np.log10(table_.sum(0) + ADD * (one.T @ types + 1))
-    return Model(keys, number, units, of, move, below, tokens, distinct)
-
-
-LOCAL = np.dtype([("key", np.uint64), ("doc", np.int64), ("null", np.bool_), ("held", np.bool_), ("n", np.int64), ("known", np.int64), ("base", float), ("score", float)])
+    if not tokens:
+        move = np.full((CLASSES, CLASSES), -np.log10(CLASSES))
+        none = table.selectExpr("bucket", "keys", "keys AS classes").limit(0)
+        return Model(keys, number, np.zeros(0, np.int64), 0, np.zeros(ENDINGS, np.int64), move, np.full(CLASSES, np.log10(ADD)), 0, 0), none
+    found = stored(coded(docs, folds, keys), "brown-tokens")
+    start = exchange(pairs(found, keys, units))
+    shared = docs.sparkSession.sparkContext.broadcast((units, start))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, of = shared.value
+        for batch in batches:
+            raw = batch.column("keys").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("keys"), pa.array([of[u.of(np.frombuffer(x, np.uint64))].astype(np.uint8).tobytes() for x in raw], pa.binary())],
+                                             names=["bucket", "keys", "classes"])
+
+    known = stored(table.select("bucket", "keys").mapInArrow(begin, "bucket int, keys binary, classes binary"), "brown-classes")
+    best, kept = -np.inf, None
+    for turn in range(ROUNDS + 1):
+        classes = _among(known, keys)
+        around = contexts(found, known, keys, classes, n)
+        around = stored(around, "brown-contexts") if turn < ROUNDS else around  # after the last round only the class bigrams count
+        bigrams = np.sum([np.frombuffer(r["table"], np.int64) for r in around.select("table").collect()], 0).reshape(CLASSES, CLASSES).astype(float)
+        likely = _f(bigrams).sum() - _f(bigrams.sum(1)).sum() - _f(bigrams.sum(0)).sum()
+        if likely <= best:
+            break
+        best, kept = likely, (known, classes, bigrams)
+        if turn < ROUNDS:
+            known = stored(moved(around, bigrams, turn), "brown-classes")
+    known, classes, bigrams = kept
+    types = np.sum([np.bincount(np.frombuffer(r["classes"], np.uint8), minlength=CLASSES) for r in known.select("classes").toLocalIterator()], 0)
+    move = np.log10((bigrams + ADD) / (bigrams.sum(1, keepdims=True) + ADD * CLASSES))
+    below = np.log10(bigrams.sum(0) + ADD * (types + 1))
+    return Model(keys, number, classes, int(classes[0]), start[len(units.keys):], move, below, tokens, distinct), known
+
+
+LOCAL = np.dtype([("key", np.uint64), ("doc", np.int64), ("null", np.bool_), ("held", np.bool_), ("n", np.int64), ("known", np.int64), ("base", float)])
+#: A word of a text whose class was looked up: key of the text, place in it, class.
+PLACE = np.dtype([("key", np.uint64), ("place", np.uint32), ("of", np.uint8)])
 PART = np.dtype([("key", np.uint64), ("known", np.int64), ("log", float)])
 
 
@@ -229,7 +420,7 @@ def score(docs: DataFrame, folds: int) -> DataFrame:
     n_buckets = buckets(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = stored(counts(docs, folds, n_buckets), "brown-counts")
-    model = train(docs, folds, table)
+    model, classes = train(docs, folds, table, n_buckets)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,74 +429,85 @@ def score(docs: DataFrame, folds: int) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 ids, texts = (batch.column(c).slice(i, 1000).to_pylist() for c in ("doc_id", "text"))
-                rows, row_of, rare = np.zeros(len(ids), LOCAL), [], []
+                rows, row_of, rare, own = np.zeros(len(ids), LOCAL), [], [], []
                 for k, (d, t) in enumerate(zip(ids, texts, strict=True)):
                     tokens = np.append(seen.of(words(t)), np.uint64(END))
                     at = np.searchsorted(m.keys, tokens)
                     at[at == len(m.keys)] = 0
                     often = m.keys[at] == tokens if len(m.keys) else np.zeros(len(tokens), bool)
-                    own = m.of[m.units.of(tokens)]
                     local = logs[at[often]].sum() if often.any() else 0.0
-                    before = np.concatenate([m.of[m.units.of(np.full(1, END, np.uint64))], own[:-1]])
+                    of = m.endings[(tokens & np.uint64(ENDINGS - 1)).astype(np.int64)].astype(np.uint8)
+                    if often.any():
+                        of[often] = m.classes[at[often]]
+                    own.append(of.tobytes())
                     key = xxhash.xxh64_intdigest(f"{d}:".encode() + (t or "").encode("utf-8", "surrogatepass"))
-                    rows[k] = (key, d or 0, d is None, in_fold(d, folds), len(tokens), often.sum(), local, local + m.move[before, own].sum() - m.below[own].sum())
-                    other, times = np.unique(tokens[~often], return_counts=True)
-                    rare.append(other)
-                    row_of.append(np.stack([np.full(len(other), k), times], 1))
-                keys = rows["key"]
-                yield from blobs(0, [rows], (keys % np.uint64(n_buckets)).astype(np.int64), [])
+                    rows[k] = (key, d or 0, d is None, in_fold(d, folds), len(tokens), often.sum(), local)
+                    rare.append(tokens[~often])
+                    place = np.flatnonzero(~often)
+                    row_of.append(np.stack([np.full(len(place), k), place], 1))
+                keys, out = rows["key"], []
+                to = (keys % np.uint64(n_buckets)).astype(np.int64)
+                for b in np.unique(to):
+                    at = np.flatnonzero(to == b)
+                    out.append((b, 0, rows[at].tobytes(), b"".join(own[k] for k in at), b""))
                 other, pair = np.concatenate(rare), np.concatenate(row_of).astype(np.uint32)
-                yield from blobs(1, [other, pair], ((other >> np.uint64(8)) % np.uint64(n_buckets)).astype(np.int64), keys)
-
-    def blobs(kind: int, arrays: list[np.ndarray], to: np.ndarray, keys) -> Iterator[pa.RecordBatch]:
-        out = []
-        for b, raw in cut(arrays, to, n_buckets):
-            if kind == 0:
-                out.append((b, 0, raw[0], b"", b""))
-            else:
-                pair = np.frombuffer(raw[1], np.uint32).reshape(-1, 2)
-                used, row = np.unique(pair[:, 0], return_inverse=True)
-                out.append((b, 1, raw[0], keys[used].tobytes(), np.stack([row, pair[:, 1]], 1).astype(np.uint32).tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                                             names=["bucket", "kind", "a", "b", "c"])
+                for b, raw in cut([other, pair], _bucket(other, n_buckets), n_buckets):
+                    pair = np.frombuffer(raw[1], np.uint32).reshape(-1, 2)
+                    used, row = np.unique(pair[:, 0], return_inverse=True)
+                    out.append((b, 1, raw[0], keys[used].tobytes(), np.stack([row, pair[:, 1]], 1).astype(np.uint32).tobytes()))
+                if out:
+                    yield _batch(out)
 
     def meet(known: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keep = found["kind"] == 0
-        out = [(b, 0, a) for b, a in zip(found["bucket"][keep], found["a"][keep], strict=True)]
-        words_, number = joined(known["keys"], np.uint64), joined(known["counts"], np.int64)
-        key, log, hit = [], [], []
+        out = [(b, 0, a, c) for b, a, c in zip(found["bucket"][keep], found["a"][keep], found["b"][keep], strict=True)]
+        words_, number, of = joined(known["keys"], np.uint64), joined(known["counts"], np.int64), joined(known["classes"], np.uint8)
+        key, log, hit, places = [], [], [], []
         for a, b, c in zip(*(found[x][~keep] for x in "abc"), strict=True):
             word, pair = np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint32).reshape(-1, 2)
             at = np.searchsorted(words_, word)
             at[at == len(words_)] = 0
-            n = np.where(words_[at] == word, number[at], 0) if len(words_) else np.zeros(len(word), np.int64)
+            seen = words_[at] == word if len(words_) else np.zeros(len(word), bool)
+            n = np.where(seen, number[at], 0) if len(words_) else np.zeros(len(word), np.int64)
             key.append(np.frombuffer(b, np.uint64))
-            log.append(np.bincount(pair[:, 0], np.log10(n + ADD) * pair[:, 1], minlength=len(key[-1])))
-            hit.append(np.bincount(pair[:, 0], (n > 0) * pair[:, 1], minlength=len(key[-1])))
+            log.append(np.bincount(pair[:, 0], np.log10(n + ADD), minlength=len(key[-1])))
+            hit.append(np.bincount(pair[:, 0], n > 0, minlength=len(key[-1])))
+            place = np.zeros(int(seen.sum()), PLACE)  # an unseen word keeps the class of its ending
+            place["key"], place["place"] = key[-1][pair[seen, 0]], pair[seen, 1]
+            place["of"] = of[at[seen]] if len(words_) else 0
+            places.append(place)
         if key:
             rows = np.zeros(sum(map(len, key)), PART)
             rows["key"], rows["log"], rows["known"] = (np.concatenate(x) for x in (key, log, hit))
-            out += [(b, 1, raw) for b, (raw,) in cut([rows], (rows["key"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
-        return pd.DataFrame(out, columns=["part", "kind", "rows"])
+            out += [(b, 1, raw, b"") for b, (raw,) in cut([rows], (rows["key"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+            rows = np.concatenate(places)
+            out += [(b, 2, raw, b"") for b, (raw,) in cut([rows], (rows["key"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+        return pd.DataFrame(out, columns=["part", "kind", "rows", "classes"])
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
-        rows, parts = (joined(group["rows"][group["kind"] == k], t) for k, t in ((0, LOCAL), (1, PART)))
+        rows, parts, places = (joined(group["rows"][group["kind"] == k], t) for k, t in ((0, LOCAL), (1, PART), (2, PLACE)))
+        own = np.frombuffer(b"".join(group["classes"][group["kind"] == 0]), np.uint8).copy()
         key, log = summed(parts["key"], parts["log"])
         _, known = summed(parts["key"], parts["known"])
-        _, back, times = np.unique(rows["key"], return_inverse=True, return_counts=True)
+        texts, first, back, times = np.unique(rows["key"], return_index=True, return_inverse=True, return_counts=True)
+        start = np.cumsum(rows["n"]) - rows["n"]
+        own[start[first[np.searchsorted(texts, places["key"])]] + places["place"]] = places["of"]
+        before = np.concatenate([[m.end], own[:-1]]).astype(np.int64)
+        before[start] = m.end
+        chain = np.add.reduceat(m.move[before, own] - m.below[own], start)[first][back]  # of rows that repeat, the first has all classes
         at = np.searchsorted(key, rows["key"])
         at[at == len(key)] = 0
         hit = key[at] == rows["key"] if len(key) else np.zeros(len(rows), bool)
         log, known = ((np.where(hit, x[at], 0) if len(key) else np.zeros(len(rows))) / times[back] for x in (log, known))
-        base = rows["base"] + log - rows["n"] * np.log10(m.tokens + ADD * (m.distinct + 1))
+        base = rows["base"] + log
         return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(rows["doc"].copy(), rows["null"].copy()),
                              "held_out": rows["held"], "n_tokens": rows["n"], "n_known": rows["known"] + np.rint(known).astype(np.int64),
-                             "train_tokens": np.full(len(rows), m.tokens), "base_score": base, "score": rows["score"] + log})
+                             "train_tokens": np.full(len(rows), m.tokens), "base_score": base - rows["n"] * np.log10(m.tokens + ADD * (m.distinct + 1)),
+                             "score": base + chain})
 
     found = docs.mapInArrow(scan, "bucket int, kind int, a binary, b binary, c binary")
-    known = table.select("bucket", "keys", "counts")
-    met = known.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(meet, "part int, kind int, rows binary")
+    known = table.select("bucket", "keys", "counts").join(classes.select("bucket", "classes"), "bucket", "left")
+    met = known.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(meet, "part int, kind int, rows binary, classes binary")
     return met.groupBy("part").applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

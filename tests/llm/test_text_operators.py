@@ -231,6 +231,19 @@ def test_scores_against_brute_force(spark):
     assert brown.score(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
 
 
+def test_rare_words_get_the_class_of_their_contexts(spark):
+    rng = random.Random(8)
+    rare = [f"{'ab'[k % 2]}{k}zz" for k in range(600)]  # one ending, two kinds of contexts, each word far below the share of a unit
+    texts = [" ".join(rng.choice(["red dog", "blue cat"]) if j % 2 else ("sun {} moon" if w[0] == "a" else "five {} nine").format(w) for j in range(40)
+                      for w in [rng.choice(rare) if j % 4 else rng.choice(["aunt", "boat"])]) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    model, known = brown.train(docs, 3, brown.counts(docs, 3, 8), 8)
+    of = {k: c for r in known.collect() for k, c in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint8).tolist(), strict=True)}
+    seen = brown.Hashes()
+    kinds = [Counter(of[seen[w.encode()]] for w in rare[k::2] if seen[w.encode()] in of).most_common(1)[0] for k in (0, 1)]
+    assert kinds[0][0] != kinds[1][0] and all(n > 200 for _, n in kinds)
+
+
 def test_exchange_finds_the_classes():
     follow = np.zeros((6, 6), int)
     follow[:3, 3:], follow[3:, :3] = 20, 20
