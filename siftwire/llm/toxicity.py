@@ -10,6 +10,7 @@ ones added, and a text's margin is the largest one among its segments.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -85,11 +86,12 @@ def kernel(found: list[str], landmarks: list[str]) -> np.ndarray:
     used = table.any(1)
     out = np.zeros((len(found), len(landmarks)))
     lengths = np.array([len(s) for s in found])
+    at_once = max(50, 4000 * 32 // max(32, len(landmarks)))  # many landmarks make wide rows
     for n in np.unique(lengths):
         if n < 3:
             continue
         rows = np.flatnonzero(lengths == n)
-        for part in np.array_split(rows, -(-len(rows) // 4000)):
+        for part in np.array_split(rows, -(-len(rows) // at_once)):
             codes, decay = _triples([found[i] for i in part])
             hit, col = np.nonzero(used[codes])
             if not len(hit):
@@ -181,10 +183,12 @@ def distinct_stems(ranked: list[tuple[str, int]], n: int) -> list[str]:
     return list(chosen)
 
 
-def train(labelled: DataFrame, n_landmarks: int = 32, min_share: float = 0.02, witnesses: int = 5) -> Machine | None:
+def train(labelled: DataFrame, n_landmarks: int | None = None, chance: float = 0.01, witnesses: int = 5) -> Machine | None:
     """A machine from (text, toxic); None without both classes or without a segment that marks toxic texts.
 
-    The caller bounds the rows.  Frequencies and witnesses are worked out by Spark; the driver gets
+    The caller bounds the rows.  A segment is a landmark if its share among toxic texts is more than
+    three times that among clean ones, with less than ``chance`` that any of all segments seems so
+    by accident; how many there are follows the sample.  Frequencies and witnesses are worked out by Spark; the driver gets
     the strongest segments and a few segments of each row.
     """
     labelled = stored(labelled.where("toxic IS NOT NULL AND text IS NOT NULL").select("text", "toxic")
@@ -204,13 +208,15 @@ def train(labelled: DataFrame, n_landmarks: int = 32, min_share: float = 0.02, w
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[s] for s in part], pa.int64()),
                                               pa.array([clean[s] for s in part], pa.int64())], names=["segment", "p", "q"])
 
-    # log odds of the share of toxic texts against that of clean ones, in standard errors, shares smoothed
-    odds = F.log((F.col("p") + 0.5) / (n[1] - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (n[0] - F.col("q") + 0.5))
-    err = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    marks = (labelled.mapInArrow(count, "segment string, p long, q long").groupBy("segment").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-             .where((F.col("p") >= max(4.0, min_share * n[1])) & (F.col("p") * n[0] > 3 * F.col("q") * n[1]))
-             .orderBy(((odds - 1) / err).desc(), "segment").limit(20 * n_landmarks).collect())
-    landmarks = distinct_stems([(r["segment"], r["p"]) for r in marks], n_landmarks)
+    marks = labelled.mapInArrow(count, "segment string, p long, q long").groupBy("segment").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    marks = stored(marks, "toxicity-segments")
+    # Chernoff's bound on the chance of p toxic texts among p + q were the shares' ratio three
+    even = 3 * n[1] / (3 * n[1] + n[0])
+    share = F.col("p") / (F.col("p") + F.col("q"))
+    rest = F.when(F.col("q") > 0, F.col("q") * F.log((1 - share) / (1 - even))).otherwise(0.0)
+    found = (marks.where(F.col("p") * n[0] > 3 * F.col("q") * n[1]).withColumn("sure", F.col("p") * F.log(share / even) + rest)
+             .where(F.col("sure") > math.log(max(1, marks.count()) / chance)).orderBy(F.col("sure").desc(), "segment").collect())
+    landmarks = distinct_stems([(r["segment"], r["p"]) for r in found], n_landmarks or len(found))
     if not landmarks:
         return None
 

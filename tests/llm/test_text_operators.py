@@ -261,3 +261,14 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert all(score[k] >= 0.5 for k in range(4)) and all(score[k] < 0.5 for k in range(4, 8))
     assert toxicity.train(spark.createDataFrame([("a", 1)], "text string, toxic int")) is None
     assert [r.score for r in toxicity.score(table(spark, ["a"]), None).collect()] == [0.0]
+
+
+def test_toxicity_learns_insults_that_are_each_rare(spark):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abdefghklmnoprstu") for _ in range(6)) for _ in range(300)]
+    insults = ["".join(rng.choice("qjxvwzyc") for _ in range(7)) for _ in range(75)]  # each marks about 20 of 1,500 toxic texts
+    rows = [(" ".join(rng.choices(names, k=15) + ([insults[k // 4 % 75]] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(6000)]
+    machine = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.score(table(spark, [f"you {w}" for w in insults] + names), machine).collect()}
+    assert sum(score[k] >= 0.5 for k in range(75)) >= 70
+    assert sum(score[75 + k] >= 0.5 for k in range(300)) <= 3
