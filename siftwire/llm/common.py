@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most so many rows, cut earlier once ``column`` has so many bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            done = int(ends[start - 1]) if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def buckets(spark: SparkSession) -> int:
     """Groups that dealt arrays go to: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
