@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, brown, decontamination, fim, jaccard, lines, pii, suffixes, toxicity, warc
+from . import ann, bpe, brown, decontamination, fim, jaccard, lines, pii, suffixes, toxicity, trie, warc
 from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,46 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
          AS output_sha256, sha256(t) AS restored_sha256
 FROM cut
 """
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
+ORACLES["op12_conversation_trie"] = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            unhex(md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, x: list_reduce(list_concat([xor(a, x)], [CAST(k AS BIGINT) FOR k IN range(0, 8)]),
+             lambda b, k: xor(b >> 1, CASE WHEN b & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS state
+  FROM (SELECT DISTINCT c FROM turns)),
+heads AS (SELECT c, xor(state, CAST(4294967295 AS BIGINT)) % 6 AS h FROM ids),
+built AS (
+  SELECT heads.c, 0 AS part, pos, role, text FROM heads JOIN turns ON turns.c = heads.c - heads.c % 100 AND pos <= h
+  UNION ALL
+  SELECT heads.c, 1, pos, role, text FROM heads JOIN turns ON turns.c = heads.c AND pos > h),
+ways AS (
+  SELECT heads.c, coalesce(w, []) AS w FROM heads LEFT JOIN (
+    SELECT c, list({'role': role, 'text': text} ORDER BY part, pos) AS w FROM built GROUP BY c) b ON b.c = heads.c),
+steps AS (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM ways),
+members AS (SELECT c, d, md5(CAST(w[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(w[1:d - 1] AS VARCHAR)) END AS pk, len(w) = d AS ended,
+                   CASE WHEN d > 0 THEN length(w[d].text) ELSE 0 END AS chars FROM steps),
+nodes AS (
+  SELECT k, d, any_value(pk) AS pk, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ended), '')) AS ends
+  FROM members GROUP BY k, d),
+children AS (SELECT pk, count(*) AS m FROM nodes WHERE d > 0 GROUP BY pk),
+whole AS (SELECT nodes.*, coalesce(m, 0) AS m FROM nodes LEFT JOIN children ON children.pk = nodes.k),
+below AS (
+  SELECT top.k, sum(CASE WHEN sub.m = 0 THEN 1 ELSE 0 END) AS leaves, sum((sub.n - 1) * sub.chars) AS saved
+  FROM whole sub JOIN members top ON top.c = sub.conv_id AND top.d <= sub.d GROUP BY top.k)
+SELECT CAST(whole.conv_id AS BIGINT) AS conv_id, CAST(whole.d AS BIGINT) AS depth, CAST(up.conv_id AS BIGINT) AS parent_conv_id,
+       CAST(whole.n AS BIGINT) AS n_convs, CAST(whole.m AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, whole.ends AS ends_sha256
+FROM whole JOIN below ON below.k = whole.k LEFT JOIN nodes up ON up.k = whole.pk
+"""

@@ -61,7 +61,7 @@ def test_few_vectors_give_all_others_with_ties_by_id(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLES[name])
