@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, brown, decontamination, fim, jaccard, lines, pii, suffixes, toxicity, trie, warc
+from . import ann, bpe, brown, decontamination, fim, jaccard, lines, pii, secret_scan, suffixes, toxicity, trie, warc
 from .common import held_out, scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,10 @@ SELECT CAST(whole.conv_id AS BIGINT) AS conv_id, CAST(whole.d AS BIGINT) AS dept
        CAST(saved AS BIGINT) AS saved_tokens, whole.ends AS ends_sha256
 FROM whole JOIN below ON below.k = whole.k LEFT JOIN nodes up ON up.k = whole.pk
 """
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.find(docs, secret_scan.learned(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
