@@ -192,8 +192,13 @@ def peeled(rows: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
                                          + [pa.nulls(len(ends), t) for t in _NODE_TYPES[4:]], names=_NODE)
 
 
-def peel(level: DataFrame, last: bool, block: int = BLOCK, fewest: int = FEWEST) -> DataFrame:
-    """One round: closed nodes of every block, and the two paths of it that stay open."""
+def peel(level: DataFrame, size: int, last: bool, block: int = BLOCK, fewest: int = FEWEST) -> DataFrame:
+    """One round: closed nodes of every block, and the two paths of it that stay open.
+
+    Tasks follow the ``size`` of the level, some blocks each: its rows are too small for their bytes to say how much work they are.
+    """
+    tasks = max(level.sparkSession.sparkContext.defaultParallelism, size // (8 * block))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -206,7 +211,7 @@ def peel(level: DataFrame, last: bool, block: int = BLOCK, fewest: int = FEWEST)
         if held:
             yield from peeled(held, last)
 
-    dealt = level.coalesce(1) if last else level.repartitionByRange("path", "conv_id")
+    dealt = level.coalesce(1) if last else level.repartitionByRange(tasks, "path", "conv_id")
     return dealt.sortWithinPartitions("path", "conv_id").mapInArrow(run, _NODE_SCHEMA)
 
 
@@ -247,13 +252,14 @@ def nodes(rows: DataFrame, block: int = BLOCK, fewest: int = FEWEST, broadcast:
     found = stored(paths(rows), "trie-paths")
     level, rounds, last = found, [], False
     while True:
-        done = stored(peel(level, last, block, fewest), "trie-nodes")
+        count, length = level.agg(F.count("*"), F.sum(F.octet_length("path"))).first()
+        size = count + (length or 0) // DIGEST
+        last = bool(rounds) and (count <= fewest or size <= block)
+        done = stored(peel(level, size, last, block, fewest), "trie-nodes")
         rounds.append(done.where("NOT open").select(*_NODE[4:]))
         if last:
             break
         level = done.where("open").select("conv_id", "path", "chars", "sums")
-        sizes = level.agg(F.count("*"), F.sum(F.octet_length("path"))).first()
-        last = sizes[0] <= fewest or sizes[1] // DIGEST + sizes[0] <= block
     every = rounds[0]
     later = rounds[-1]
     for k, more in enumerate(rounds[1:]):
