@@ -192,12 +192,14 @@ def peeled(rows: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
                                          + [pa.nulls(len(ends), t) for t in _NODE_TYPES[4:]], names=_NODE)
 
 
-def peel(level: DataFrame, size: int, last: bool, block: int = BLOCK, fewest: int = FEWEST) -> DataFrame:
+def peel(level: DataFrame, count: int, size: int, last: bool, block: int = BLOCK, fewest: int = FEWEST) -> DataFrame:
     """One round: closed nodes of every block, and the two paths of it that stay open.
 
-    Tasks follow the ``size`` of the level, some blocks each: its rows are too small for their bytes to say how much work they are.
+    Tasks follow the paths and the ``size`` of the level, some blocks each: its rows are too small for
+    their bytes to say how much work they are.  No task gets so few paths that a round wouldn't shorten the level.
     """
     tasks = max(level.sparkSession.sparkContext.defaultParallelism, size // (8 * block))
+    tasks = max(1, min(tasks, count // (8 * fewest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -255,7 +257,7 @@ def nodes(rows: DataFrame, block: int = BLOCK, fewest: int = FEWEST, broadcast:
         count, length = level.agg(F.count("*"), F.sum(F.octet_length("path"))).first()
         size = count + (length or 0) // DIGEST
         last = bool(rounds) and (count <= fewest or size <= block)
-        done = stored(peel(level, size, last, block, fewest), "trie-nodes")
+        done = stored(peel(level, count, size, last, block, fewest), "trie-nodes")
         rounds.append(done.where("NOT open").select(*_NODE[4:]))
         if last:
             break
