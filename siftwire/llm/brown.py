@@ -321,7 +321,7 @@ def exchange(follow: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
             table[own] -= r
             table[:, own] -= l
             table[own, own] -= same
-            rows, columns = table.sum(1), table.sum(0)
+            rows, columns = table.sum(1) + l, table.sum(0) + r  # a mover's neighbours count towards their classes wherever it goes
             out = _f(table + r) - _f(table)
             into = _f(table.T + l) - _f(table.T)
             out[diagonal, diagonal] = into[diagonal, diagonal] = 0

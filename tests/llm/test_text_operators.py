@@ -251,6 +251,19 @@ def test_exchange_finds_the_classes():
     assert len(set(of[:3])) == len(set(of[3:])) == 1 and of[0] != of[3]
 
 
+def test_exchange_never_loses_ground():
+    def likely(follow, of):
+        table = np.zeros((4, 4))
+        np.add.at(table, (of[:, None], of[None, :]), follow)
+        return brown._f(table).sum() - brown._f(table.sum(1)).sum() - brown._f(table.sum(0)).sum()
+
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        follow = rng.poisson(2 * rng.random((30, 1)) * rng.random((1, 30)) + 3 * (rng.random((30, 30)) < 0.1))
+        steps = [likely(follow, brown.exchange(follow, 4, k)) for k in range(7)]
+        assert all(b >= a - 1e-9 for a, b in zip(steps, steps[1:], strict=False)) and steps[-1] > steps[0]
+
+
 def test_toxicity_learns_and_tolerates_gaps(spark):
     rng = random.Random(1)
     names = ["".join(rng.choice("abdefghklmnoprstu") for _ in range(6)) for _ in range(300)]
