@@ -155,11 +155,13 @@ def records(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], b
 def ranges(spark: SparkSession, files: DataFrame, size: int = RANGE) -> DataFrame:
     """(path, start, end) that cover every file, dealt out one by one.
 
-    Rows of ranges are tiny whatever they stand for; a stated number of parts keeps each a task.
+    Rows of ranges are tiny whatever they stand for, so their bytes don't say how many tasks to make:
+    a task each as long as the cores want them, some ranges a task beyond that.
     """
     count = files.agg(F.sum(F.ceil(F.col("size") / size))).first()[0] or 1
+    tasks = min(count, max(4 * spark.sparkContext.defaultParallelism, count // 16))
     cuts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long"))).alias("start"))
-    return cuts.select("path", "start", F.least("size", F.col("start") + size).alias("end")).repartition(int(count))
+    return cuts.select("path", "start", F.least("size", F.col("start") + size).alias("end")).repartition(int(tasks))
 
 
 FIELDS = T.StructType([T.StructField(n, t) for n, t in (
