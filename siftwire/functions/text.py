@@ -127,7 +127,11 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[^{rx.SPACE}]+"), F.lit(0))
 
 
-def padded_windows(word: Column, low: int = 3, high: int = 5) -> Column:
+#: Shortest and longest window.
+WINDOWS = (3, 5)
+
+
+def padded_windows(word: Column, low: int = WINDOWS[0], high: int = WINDOWS[1]) -> Column:
     """Windows of ``low..high`` characters over the word padded by one space on each side.
 
     A word that is not longer than the window once padded is given whole, once.
@@ -162,4 +166,4 @@ def run_counts(items: Column) -> Column:
             lambda here, after: F.struct(F.get(s, here - 1).alias("gram"), (after - here).cast("long").alias("tf"))))
 
     empty = F.array().cast("array<struct<gram:string,tf:bigint>>")
-    return F.when(F.size(items) > 0, bound(F.array_sort(items), counted)).otherwise(empty)
+    return F.when(F.size(items) > 0, bound(F.sort_array(items), counted)).otherwise(empty)

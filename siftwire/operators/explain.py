@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.rows import bound, explode_rows
-from .features import BIAS, damped, with_term_arrays
+from .features import BIAS, damped, expanded, placed
 from .model import Model
 from .normal import with_normalised
 
@@ -17,22 +17,20 @@ TOP_K = 8
 MAX_WORDS = 3
 MIN_SPAN = 0.02
 
-_ENTRY = "array<struct<kind:string,gram:string,tf:bigint,at:bigint>>"
+_ENTRY = "array<struct<kind:string,item:string,at:bigint>>"
 
 
-def _entry(kind: str, gram: Column, at: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), gram.alias("gram"), F.lit(None).cast("bigint").alias("tf"),
-                    at.cast("bigint").alias("at"))
+def _entry(kind: str, item: Column, at: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), item.alias("item"), at.cast("bigint").alias("at"))
 
 
 def _hits_of_word(word: Column, after: Column, pos: Column) -> Column:
-    """Every gram that points at this word (or at this word and the next), with the position.
+    """What points at this word (or at this word and the next), with the position.
 
-    A character gram points at a word exactly when it is one of the windows of the padded word, so
-    the windows are generated and joined by equality instead of testing grams against words.
+    A character gram points at a word exactly when it is one of the windows of the padded word, so the
+    word stands for its windows, which are cut later and joined by equality instead of testing grams
+    against words.
     """
-    chars = F.transform(F.array_distinct(t.padded_windows(word)), lambda g: _entry("char", g, pos))
-
     def of_tokens(own: Column) -> Column:
         ones = F.transform(F.array_distinct(own), lambda x: _entry("word", x, pos))
         following = t.word_tokens(after)
@@ -48,36 +46,39 @@ def _hits_of_word(word: Column, after: Column, pos: Column) -> Column:
             F.array().cast(_ENTRY))
         return F.concat(ones.cast(_ENTRY), two.cast(_ENTRY))
 
-    return F.concat(chars.cast(_ENTRY), bound(t.word_tokens(word), of_tokens))
+    return F.concat(F.array(_entry("char", word, pos)).cast(_ENTRY), bound(t.word_tokens(word), of_tokens))
 
 
 def feature_table(messages: DataFrame, model: Model, id_col: str = "msg_id", words: str = "norm",
-                  chars: str = "norm_short") -> DataFrame:
+                  chars: str = "norm_short", at_rest: bool = False) -> DataFrame:
     """One row per known feature of a message: id, kind, gram, x, c, hits (positions it points at).
 
-    The messages are placed by id once; counting, block norms and every later step by message or
-    word position reuse that placement.
+    The messages are placed by id once (``at_rest``: they lie so already); counting, block norms and
+    every later step by message or word position reuse that placement.  Words are gathered with their
+    counts and positions before their windows are cut.
     """
-    placed = with_term_arrays(messages.select(id_col, *dict.fromkeys((words, chars))).repartition(id_col), words, chars)
-    list_of_words = t.split_words(F.col(words))
-    placed = placed.select(id_col, "terms", list_of_words.alias("_words"))
-    counted = F.flatten(F.transform("terms", lambda b: F.transform(b["items"], lambda g: F.struct(
-        b["kind"].alias("kind"), g["gram"].alias("gram"), g["tf"].alias("tf"),
-        F.lit(None).cast("bigint").alias("at")))))
+    rows = messages.select(id_col, *dict.fromkeys((words, chars)))
+    rows = rows if at_rest else placed(rows, id_col)
+    nowhere = F.lit(None).cast("bigint")
+    counted = F.concat(F.transform(t.word_grams(t.word_tokens(F.col(words))), lambda g: _entry("word", g, nowhere)),
+                       F.transform(t.split_words(F.col(chars)), lambda w: _entry("char", w, nowhere)))
+    split = rows.select(id_col, counted.cast(_ENTRY).alias("_counted"), t.split_words(F.col(words)).alias("_words"))
     parts = F.concat(
         F.array(F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("word"),
-                         F.lit(None).cast("string").alias("after"), counted.alias("counted"))),
+                         F.lit(None).cast("string").alias("after"), F.col("_counted").alias("counted"))),
         F.transform("_words", lambda w, i: F.struct(
             i.cast("bigint").alias("pos"), w.alias("word"), F.get(F.col("_words"), i + 1).alias("after"),
             F.lit(None).cast(_ENTRY).alias("counted"))))
-    per_word = explode_rows(placed, [id_col], parts, None, "w")
+    per_word = explode_rows(split, [id_col], parts, None, "w")
     entries = F.when(F.col("w.pos") < 0, F.col("w.counted")).otherwise(
         _hits_of_word(F.col("w.word"), F.col("w.after"), F.col("w.pos")))
-    rows = explode_rows(per_word, [id_col], entries, None, "e").select(id_col, "e.kind", "e.gram", "e.tf", "e.at")
-    known = rows.join(model.joinable(), ["kind", "gram"]).where(F.col("kind") != BIAS)
+    items = explode_rows(per_word, [id_col], entries, None, "e").select(id_col, "e.kind", "e.item", "e.at")
+    gathered = items.groupBy(id_col, "kind", "item").agg(
+        F.count_if(F.col("at").isNull()).alias("n"), F.collect_set("at").alias("ats"))
+    known = expanded(gathered, [id_col, "n", "ats"]).join(model.joinable(), ["kind", "gram"]).where(F.col("kind") != BIAS)
     found = known.groupBy(id_col, "kind", "gram", "idf", "w").agg(
-        F.sum("tf").alias("tf"), F.array_sort(F.collect_set("at")).alias("hits"))
-    present = found.where(F.col("tf").isNotNull())  # a pair across words need not be a feature of the message
+        F.sum("n").alias("tf"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hits"))
+    present = found.where("tf > 0")  # a pair across words need not be a feature of the message
     raw = present.withColumn("_x", damped(F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(id_col, "kind")))
     scaled = raw.withColumn("x", F.col("_x") / norm)
@@ -95,14 +96,14 @@ def type_of(kind: Column, gram: Column) -> Column:
 
 def top_features(features: DataFrame, id_col: str = "msg_id", k: int = TOP_K) -> DataFrame:
     """The k most positive and k most negative rounded contributions of each message."""
-    r = features.withColumn("contribution", F.round("c", 4)).withColumn(
-        "_block", F.when(F.col("kind") == "word", 0).otherwise(1))
-    up = r.where("contribution > 0").withColumn("rank", F.row_number().over(
-        W.partitionBy(id_col).orderBy(F.col("contribution").desc(), F.col("_block").desc(), F.col("gram").desc())))
-    down = r.where("contribution < 0").withColumn("rank", F.row_number().over(
-        W.partitionBy(id_col).orderBy("contribution", "_block", "gram")))
-    both = up.where(F.col("rank") <= k).withColumn("side", F.lit("spam")).unionByName(
-        down.where(F.col("rank") <= k).withColumn("side", F.lit("ham")))
+    r = features.withColumn("contribution", F.round("c", 4)).where("contribution <> 0")
+    up = F.col("contribution") > 0
+    block = F.when(F.col("kind") == "word", 0).otherwise(1)
+    # one pass for both sides: ties go to the later block and gram on the one, to the earlier on the other
+    order = [F.abs("contribution").desc(), F.when(up, -block).otherwise(block),
+             F.when(up, F.col("gram")).desc_nulls_last(), F.when(~up, F.col("gram")).asc_nulls_last()]
+    both = r.withColumn("side", F.when(up, "spam").otherwise("ham")).withColumn(
+        "rank", F.row_number().over(W.partitionBy(id_col, "side").orderBy(*order))).where(F.col("rank") <= k)
     return both.select(
         id_col, "side", F.col("rank").cast("bigint").alias("rank"), label_of(F.col("kind"), F.col("gram")).alias("feature"),
         type_of(F.col("kind"), F.col("gram")).alias("type"), "contribution",

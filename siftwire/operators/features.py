@@ -19,31 +19,51 @@ BROADCAST_TERMS = 1_000_000
 BIAS = "bias"  # kind of the constant feature every message carries
 
 
-def with_term_arrays(df: DataFrame, words: str = "norm", chars: str = "norm_short") -> DataFrame:
-    """Add ``terms``: per kind the distinct grams of the message with their counts.
+def placed(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows dealt by id over as many tasks as the session shuffles into; every later step by message stays there.
 
-    Counting happens inside the row.  Exploding first and counting by (message, gram) would move
-    every gram of every message through a shuffle, some twenty times the text.
+    The number is given, so that it holds: a text is few bytes and many grams, and tasks merged by
+    their bytes would be far too large.
     """
-    typed = "array<struct<gram:string,tf:bigint>>"
-    return df.withColumn("terms", F.array(
-        F.struct(F.lit("word").alias("kind"),
-                 t.run_counts(t.word_grams(t.word_tokens(F.col(words)))).cast(typed).alias("items")),
-        F.struct(F.lit("char").alias("kind"), t.run_counts(t.char_grams(F.col(chars))).cast(typed).alias("items"))))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
+def expanded(items: DataFrame, keep: list) -> DataFrame:
+    """Rows of ``items`` (kind, item and the ``keep`` columns) with ``gram``: windows of a word of kind char, else the item.
+
+    Generators instead of nested lambdas, so that the work stays in generated code.
+    """
+    low, high = t.WINDOWS
+    padded = items.select(*keep, "kind", F.when(F.col("kind") == "char", F.concat(F.lit(" "), "item", F.lit(" "))).otherwise(F.col("item")).alias("_pad"))
+    size = F.length("_pad")
+    # a word that is not longer than a window once padded is given whole, once
+    lengths = F.when(F.col("kind") == "char", F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(size, F.lit(high))))).otherwise(F.array(F.lit(0)))
+    sized = padded.select(*keep, "kind", "_pad", F.explode(lengths).alias("_n"))
+    starts = F.sequence(F.lit(1), F.when(F.col("_n") == 0, 1).otherwise(F.greatest(size - F.col("_n") + 1, F.lit(1))))
+    windows = sized.select(*keep, "kind", "_pad", "_n", F.explode(starts).alias("_at"))
+    gram = F.when(F.col("_n") == 0, F.col("_pad")).otherwise(F.substring(F.col("_pad"), F.col("_at"), F.col("_n")))
+    return windows.select(*keep, "kind", gram.alias("gram"))
 
 
 def term_table(df: DataFrame, id_col: str = "msg_id", words: str = "norm", chars: str = "norm_short",
                with_bias: bool = False) -> DataFrame:
-    """One row per (message, kind, gram): id, kind, gram, tf."""
-    rows = with_term_arrays(df.select(id_col, *dict.fromkeys((words, chars))), words, chars)
-    blocks = F.col("terms")
+    """One row per (message, kind, gram): id, kind, gram, tf.
+
+    The texts are placed by id, which is the only shuffle: the grams, some twenty times the text, are
+    counted where they arise.  Words are counted first, so a word's windows are cut once a message.
+    """
+    rows = placed(df.select(id_col, *dict.fromkeys((words, chars))), id_col)
+
+    def block(kind: str, items: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), items.alias("items"))
+
+    blocks = [block("word", t.word_grams(t.word_tokens(F.col(words)))), block("char", t.split_words(F.col(chars)))]
     if with_bias:
-        one = F.struct(F.lit(BIAS).alias("kind"), F.array(F.struct(
-            F.lit("").alias("gram"), F.lit(1).cast("bigint").alias("tf"))).alias("items"))
-        blocks = F.concat(blocks, F.array(one))
-    kinds = explode_rows(rows, [id_col], blocks, None, "b")
-    grams = explode_rows(kinds, [id_col, F.col("b.kind").alias("kind")], F.col("b.items"), None, "g")
-    return grams.select(id_col, "kind", F.col("g.gram").alias("gram"), F.col("g.tf").alias("tf"))
+        blocks.append(block(BIAS, F.array(F.lit(""))))
+    kinds = explode_rows(rows, [id_col], F.array(*blocks), None, "b")
+    items = explode_rows(kinds, [id_col, F.col("b.kind").alias("kind")], F.col("b.items"), None, "item")
+    counted = items.groupBy(id_col, "kind", "item").agg(F.count("*").alias("n"))
+    return expanded(counted, [id_col, "n"]).groupBy(id_col, "kind", "gram").agg(F.sum("n").alias("tf"))
 
 
 def message_terms(messages: DataFrame, id_col: str = "msg_id", text: str = "text", with_bias: bool = False) -> DataFrame:
