@@ -309,6 +309,6 @@ def _spans(s, d):
 
 add("f7_highlights", _spans)
 add("j4_analyse", lambda s, d: jobs.analyse(msgs(s, d), derived_model(f.with_idf(
-    f.vocabulary(f.message_terms(msgs(s, d))), read_table(s, d, "events")))).select(
+    f.vocabulary(f.message_terms(msgs(s, d))), read_table(s, d, "events"))), work_dir=work_dir(s, "j4")).select(
     "msg_id", "label", "verdict", "spam_probability", F.size("red_flags").alias("n_flags"),
     F.size("top_spam_features").alias("n_up"), F.size("highlights").alias("n_spans"), "bias"))

@@ -13,7 +13,7 @@ from ..operators import model as md
 from ..operators import split as s
 from ..operators import verdict as v
 from ..operators.normal import with_normalised
-from ..sources.sinks import shared_dir, write_corpus
+from ..sources.sinks import kept_by, shared_dir, write_corpus
 
 
 def build_corpus(sources: list[tuple[str, DataFrame]], path: str) -> DataFrame:
@@ -73,19 +73,28 @@ def judge(messages: DataFrame, model: md.Model, id_col: str = "msg_id", text: st
 
 
 def analyse(messages: DataFrame, model: md.Model, id_col: str = "msg_id", text: str = "text",
-            k: int = x.TOP_K) -> DataFrame:
-    """Full record of every message: verdict, rules, top features both ways, highlights, bias."""
-    base = v.prediction_record(judge(messages, model, id_col, text), [id_col, text])
-    normalised = with_normalised(messages.select(id_col, text), text)
-    feats = x.feature_table(normalised, model, id_col)
-    words = normalised.select(id_col, F.split(F.col("norm"), " ").alias("_words"))
+            k: int = x.TOP_K, work_dir: str | None = None) -> DataFrame:
+    """Full record of every message: verdict, rules, top features both ways, highlights, bias.
+
+    The messages with their normalised texts are placed by id and written once, and so are their
+    features; probability, top features, word scores and spans all come from these two tables, by id,
+    where they lie.
+    """
+    work_dir = work_dir or shared_dir(messages.sparkSession, "analyse")
+    normalised = with_normalised(f.placed(messages.drop("p"), id_col), text)
+    rows = kept_by(normalised, id_col, f"{work_dir}/messages")
+    feats = kept_by(x.feature_table(rows, model, id_col, at_rest=True), id_col, f"{work_dir}/features")
+    bias = model.weights.where(F.col("kind") == f.BIAS).select("w").scalar()
+    z = feats.groupBy(id_col).agg(F.sum("c").alias("_z"))
+    judged = rows.join(z, id_col, "left").withColumn("p", md.sigmoid(F.coalesce("_z", F.lit(0.0)) + bias)).drop("_z", "norm", "norm_short")
+    base = v.prediction_record(v.with_verdict(v.with_rules(judged, text)), [id_col, text])
+    words = rows.select(id_col, F.split(F.col("norm"), " ").alias("_words"))
     top = x.top_features(feats, id_col, k).join(words, id_col).select(
         id_col, "side", F.struct("rank", "feature", "type", "contribution", x.source_words(
             F.col("hits"), F.col("_words")).alias("words")).alias("f"))
     lists = top.groupBy(id_col).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("f")))).alias(name)
+        F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("f")))).alias(name)
         for side, name in (("spam", "top_spam_features"), ("ham", "top_safe_features"))])
-    spans = x.highlights(messages, x.word_means(normalised, x.word_scores(feats, id_col), id_col), id_col, text)
-    marks = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text", "score"))).alias("highlights"))
-    bias = model.weights.where(F.col("kind") == f.BIAS).select(F.round("w", 3).alias("w")).scalar()
-    return base.join(lists, id_col, "left").join(marks, id_col, "left").withColumn("bias", bias)
+    spans = x.highlights(rows, x.word_means(rows, x.word_scores(feats, id_col), id_col), id_col, text)
+    marks = spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", "score"))).alias("highlights"))
+    return base.join(lists, id_col, "left").join(marks, id_col, "left").withColumn("bias", F.round(bias, 3))

@@ -17,6 +17,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_by(df: DataFrame, key: str, path: str) -> DataFrame:
+    """The table written once to ``path``, bucketed by ``key``, and read again.
+
+    Grouping, windows and joins by the key need no shuffle on it, and a lost executor reads a file
+    instead of repeating the work.  Buckets are as many as the session shuffles into, which is how
+    operators place rows by key: a table that lies so already is written without a shuffle.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"kept_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """Parquet by source: the working format."""
     corpus.select("text", "label", "source").write.mode("overwrite").partitionBy("source").parquet(path)
