@@ -176,14 +176,14 @@ SELECT doc_id, source, label, round((1 / sqrt(n)) * (SELECT sum(n) / sum(sqrt(n)
 FROM lb JOIN ce USING (source, label)""")
 
 
-def _fit(s, d):
+def _fit(s, d, **limits):
     rows = labelled(s, d).withColumnRenamed("doc_id", "msg_id")
-    model, held = jobs.train(rows, work_dir(s, "e3"))
-    del model
-    return mt.by_source(held)
+    return mt.by_source(jobs.train(rows, work_dir(s, "e3"), **limits)[1])
 
 
 add("e3_fit_and_evaluate", _fit)
+#: The same job with every coefficient in a table.
+add("e3_fit_by_tables", lambda s, d: _fit(s, d, dense_terms=0))
 
 
 def doc_scores(s, d):

@@ -110,13 +110,16 @@ def by_count(table: DataFrame, n: int | None) -> DataFrame:
     return F.broadcast(table) if n is not None and n <= BROADCAST_TERMS else table
 
 
-def weighted_terms(terms: DataFrame, vocab: DataFrame, id_col: str = "msg_id", n_terms: int | None = None) -> DataFrame:
-    """``x`` of every known term, of length one within each (message, kind); ``n_terms``: counted rows of ``vocab``."""
-    known = terms.join(by_count(vocab.select("kind", "gram", "idf"), n_terms), ["kind", "gram"])
+def weighted_terms(terms: DataFrame, vocab: DataFrame, id_col: str = "msg_id", n_terms: int | None = None, more: tuple = ()) -> DataFrame:
+    """``x`` of every known term, of length one within each (message, kind), and ``more`` columns of ``vocab``.
+
+    ``n_terms``: counted rows of ``vocab``.
+    """
+    known = terms.join(by_count(vocab.select("kind", "gram", "idf", *more), n_terms), ["kind", "gram"])
     raw = known.withColumn("x", damped(F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(id_col, "kind")))
     return raw.withColumn("_norm", norm).select(
-        id_col, "kind", "gram", "tf", (F.col("x") / F.col("_norm")).alias("x"))
+        id_col, "kind", "gram", "tf", (F.col("x") / F.col("_norm")).alias("x"), *more)
 
 
 def indexed_vocabulary(vocab: DataFrame, path: str) -> DataFrame:

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import BIAS, by_count, damped, indexed_vocabulary
+from . import solver
+from .features import BIAS, by_count, damped, indexed_vocabulary, weighted_terms
 
 # --- fixed values: regularisation and iterations ----------------------------------------------------
 C = 10.0
 MAX_ITER = 3000
+#: Vocabulary up to which Spark ML's solver is used, which keeps a dense vector of it on the driver and
+#: in every task; larger ones are fitted by ``solver``, whose coefficients stay in a table.
+DENSE_TERMS = 2_000_000
 
 _VECTOR = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
                         T.StructField("features", VectorUDT())])
@@ -73,17 +79,22 @@ def feature_rows(terms: DataFrame, indexed: DataFrame, size: int, id_col: str =
 
 
 def fit(terms: DataFrame, labels: DataFrame, vocab: DataFrame, work_dir: str, id_col: str = "msg_id",
-        c: float = C, max_iter: int = MAX_ITER) -> Model:
+        c: float = C, max_iter: int = MAX_ITER, dense_terms: int = DENSE_TERMS) -> Model:
     """Weighted L2 logistic regression; ``labels`` holds id, label, weight; ``vocab`` kind, gram, idf.
 
     The penalty covers the bias too, so the bias is the weight of a constant feature.  Vectors are
     written once to ``work_dir`` (shared storage): the optimizer passes over them many times, and a
     lost executor re-reads a file instead of recomputing the n-grams.  Read back under the vector
-    type, they never pass through Python.
+    type, they never pass through Python.  A vocabulary of over ``dense_terms`` rows is fitted without
+    any vector of its length: same objective, coefficients in a table.
     """
     spark = terms.sparkSession
     indexed = indexed_vocabulary(vocab.select("kind", "gram", "idf"), f"{work_dir}/vocabulary")
     size = indexed.count()
+    if size > dense_terms:
+        x = weighted_terms(terms, indexed, id_col, size, ["idx"])
+        learned, bias = solver.fit(x, labels, work_dir, id_col, c, max_iter)
+        return model_of(indexed.join(learned, "idx").select("kind", "gram", "idf", "w"), bias, size)
     rows = feature_rows(terms, indexed, size, id_col)
     bare = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + 1).alias("size"),
                     F.array(F.lit(size)).alias("indices"), F.array(F.lit(1.0)).alias("values"))
@@ -98,9 +109,7 @@ def fit(terms: DataFrame, labels: DataFrame, vocab: DataFrame, work_dir: str, id
         weightCol="weight", standardization=False, fitIntercept=False, elasticNetParam=0.0,
         regParam=1.0 / (c * total), maxIter=max_iter, tol=1e-6).fit(vectors)
     coefficients = fitted.coefficients.toArray()
-    # one number per vocabulary row; the solver keeps them on the driver in any case
-    learned = spark.createDataFrame(
-        [(i, float(w)) for i, w in enumerate(coefficients[:size])], "idx bigint, w double")
+    learned = spark.createDataFrame(pa.table({"idx": np.arange(size), "w": coefficients[:size]}))
     weights = indexed.join(learned, "idx").select("kind", "gram", "idf", "w")
     return model_of(weights, float(coefficients[size]), size)
 

@@ -25,7 +25,7 @@ def build_corpus(sources: list[tuple[str, DataFrame]], path: str) -> DataFrame:
 
 
 def train(rows: DataFrame, work_dir: str | None = None, id_col: str = "msg_id", max_iter: int = md.MAX_ITER,
-          min_df: dict = f.MIN_DF, max_terms: dict | None = None) -> tuple[md.Model, DataFrame]:
+          min_df: dict = f.MIN_DF, max_terms: dict | None = None, dense_terms: int = md.DENSE_TERMS) -> tuple[md.Model, DataFrame]:
     """Split, weight, fit and score the held-out part.
 
     ``rows``: id, text, label, source.  Returns the model and the held-out rows with ``p`` and
@@ -41,7 +41,7 @@ def train(rows: DataFrame, work_dir: str | None = None, id_col: str = "msg_id",
     train_terms = terms.join(train_ids.select(id_col), id_col).where(F.col("kind") != f.BIAS)
     vocab = f.with_idf(f.vocabulary(train_terms, min_df, max_terms), train_ids)
     labels = s.with_weights(train_ids).select(id_col, "label", "weight")
-    model = md.fit(train_terms, labels, vocab, work_dir, id_col, max_iter=max_iter)
+    model = md.fit(train_terms, labels, vocab, work_dir, id_col, max_iter=max_iter, dense_terms=dense_terms)
     model.save(f"{work_dir}/model")
     model = md.Model(spark.read.parquet(f"{work_dir}/model"), model.n_terms)
     test = split.where("split = 'test'")
