@@ -93,25 +93,26 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed(table(spark, sf_dir, "documents"))
+    return lines.passages(lines.repeated(table(spark, sf_dir, "documents")))
 
 
 ORACLES["op5_line_dedup"] = """
 WITH pieces AS (
-  SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
-lines AS (
-  SELECT doc_id, p[k] AS piece, k - 1 AS unit, k - 1 + coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0) AS start
-  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM pieces)),
+  SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+|[^.!?\\n]+') AS p FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, unnest(p) AS piece, unnest(range(0, len(p))) AS k FROM pieces),
+placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS until FROM split),
 clean AS (
-  SELECT doc_id, unit, start, length(piece) AS n,
+  SELECT doc_id, k, until - length(piece) AS start, until,
          trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS c
-  FROM lines),
+  FROM placed),
+units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(string_split(c, ' ')) AS n FROM clean WHERE c <> ''),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, row_number() OVER w AS place
-  FROM clean WHERE length(c) - length(replace(c, ' ', '')) >= 4 WINDOW w AS (PARTITION BY c ORDER BY doc_id, unit))
-SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end",
-       CAST(kept_doc_id AS BIGINT) AS kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
-FROM ranked WHERE place > 1
+  SELECT *, first_value(doc_id) OVER w AS kept, row_number() OVER w AS place, count(*) OVER (PARTITION BY c) AS times
+  FROM units WINDOW w AS (PARTITION BY c ORDER BY doc_id, unit)),
+marked AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE times > 1)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(until) AS BIGINT) AS "end", count(*) AS n_units,
+       CAST(sum(n) AS BIGINT) AS n_words, count(*) FILTER (place > 1) AS n_removed, CAST(min(kept) AS BIGINT) AS kept_doc_id
+FROM marked GROUP BY doc_id, run HAVING sum(n) >= 30
 """
 
 

@@ -10,6 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from siftwire.llm import bpe, brown, decontamination, jaccard, lines, pii, queries, suffixes, toxicity
+from siftwire.llm.common import stored
+
+
 
 tiktoken = pytest.importorskip("tiktoken")
 ODD = [None, "", "   \n\t ", "a", "x" * 70_000, "naïve café 漢字 🙂 123", "a b c d e f g h"]
@@ -170,13 +173,61 @@ def test_tree_bound_loses_no_pair():
             assert ((a, b) in found) == bool(possible)
 
 
-def test_lines_keep_the_first(spark):
-    texts = ["one two three four five\nshort line", "x\nOne  two three\tfour five\none two three four five", None, "", "short line\nshort line"]
-    df = table(spark, texts)
-    gone = lines.removed(df)
-    assert sorted(map(tuple, gone.collect())) == [(1, 1, 2, 26, 0, 0), (1, 2, 27, 50, 0, 0)]
-    kept = {r.doc_id: r.text for r in lines.kept_texts(df, gone).collect()}
-    assert kept == {0: texts[0], 1: "x", 2: None, 3: "", 4: texts[4]}
+def plain_units(text):
+    out, start = [], 0
+    for piece in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text or ""):
+        found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), piece))
+        if found:
+            out.append((start, start + len(piece), " ".join(found)))
+        start += len(piece)
+    return out
+
+
+def test_lines_equal_a_plain_dictionary(spark):
+    rng = random.Random(8)
+    said = [" ".join(rng.choice("abcdeé漢") for _ in range(rng.randrange(1, 9))) + rng.choice(".!?\n") for _ in range(25)] + ["Same  Line\n", "same line\n", "...", "\n\n"]
+    texts = ["".join(rng.choice(said) for _ in range(rng.randrange(12))) for _ in range(80)] + [None, "", "  \n "]
+    docs = [(None if k == 5 else k, t) for k, t in enumerate(texts)]
+    docs.append(docs[7])  # a row that repeats a document
+    df = spark.createDataFrame([(k, t, "u", 1, "d") for k, t in docs], "doc_id long, text string, unit string, row int, lines_gone_ string").repartition(4)
+    marked = stored(lines.repeated(df), "m")
+    places, times = {}, Counter()
+    for k, t in docs:
+        for u, (s, _, c) in enumerate(plain_units(t)):
+            places[c] = min(places.get(c, (math.inf,)), (-1 if k is None else k, u, s))
+            times[c] += 1
+    for least in (0, 6):
+        want, kept = [], []
+        for k, t in docs:
+            run, gone = [], []
+            for u, (s, e, c) in [*enumerate(plain_units(t)), (-1, (0, 0, None))]:
+                if c is not None and times[c] > 1:
+                    run.append((s, e, len(c.split()), places[c][:2] != (-1 if k is None else k, u), places[c][0]))
+                    continue
+                if run and sum(r[2] for r in run) >= least:
+                    first = min(r[4] for r in run)
+                    want.append((k, run[0][0], run[-1][1], len(run), sum(r[2] for r in run), sum(r[3] for r in run), None if first < 0 else first))
+                    gone += [(s, e) for s, e, _, away, _ in run if away]
+                run = []
+            for s, e in reversed(gone):
+                t = t[:s] + t[e:]
+            kept.append((k, t))
+        got = [tuple(r) for r in lines.passages(marked, least).collect()]
+        # a null counts as the least id: min() leaves it out
+        assert sorted((r[:6] for r in got), key=repr) == sorted((r[:6] for r in want), key=repr)
+        assert all(a[6] == b[6] for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True) if b[6] is not None and a[:6] == b[:6])
+        out = lines.kept_texts(df, lines.removed(marked, least))
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(kept, key=repr)
+    empty = df.limit(0)
+    assert lines.passages(lines.repeated(empty)).count() == 0 and lines.kept_texts(empty, lines.removed(lines.repeated(empty))).count() == 0
+
+
+def test_frequent_units_travel_with_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 10)
+    df = spark.createDataFrame([(k, f"one common line here\nown {k // 2}\n" * 2) for k in range(40)], "doc_id long, text string")
+    found = lines.passages(lines.repeated(df), 0).collect()
+    assert len(found) == 40 and all(r.n_units == 4 for r in found) and sum(r.n_removed for r in found) == 160 - 21
 
 
 def test_decontamination_tolerates_substitutions(spark):
