@@ -29,6 +29,8 @@ BLOCK = 4096
 WIDE = 1024
 #: Trees of so many texts are searched row by row.
 SMALL = 48
+#: Rounds of stars before what they leave unconnected is searched.
+STARS = 2
 
 
 ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
@@ -261,10 +263,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
 
 
-def star_pairs(forest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (u, v): each tree's most typical set with the others, where sizes and count vectors allow a link."""
-    center = forest.groupBy("seed").agg(F.max(F.struct("typical", "node", "n")).alias("c"))
-    stars = (forest.join(center, "seed").where(F.col("node") != F.col("c.node"))
+def star_pairs(forest: DataFrame, nodes: DataFrame, percent: int, again: bool) -> DataFrame:
+    """Distinct (u, v): a centre of each tree with the members that it isn't connected to, where sizes and count vectors allow a link.
+
+    The centre is the most typical set; ``again``: the most typical one beyond that set's component.
+    So a round has at most one pair a member, whatever the size of the tree.
+    """
+    top = F.max(F.struct("typical", "node", "n", "component")).alias("c")
+    center = forest.groupBy("seed").agg(top)
+    if again:
+        center = forest.join(center, "seed").where(F.col("component") != F.col("c.component")).groupBy("seed").agg(top)
+    stars = (forest.join(center, "seed").where(F.col("component") != F.col("c.component"))
              .where((F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
              .select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct())
     of = nodes.select("node", "n", "point")
@@ -302,27 +311,41 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     forest = trees(seeded).join(nodes.select("node", "n", "typical"), "node")
     forest = stored(forest.select("seed", "node", "n", "typical"), "jaccard-trees")
 
-    # small trees are searched whole; of large ones first a star, then what it leaves unconnected
+    # stars first, in trees of every size: they connect a group of copies by as many pairs as it has members
     wide = stored(wide_points(seeded), "jaccard-wide")
-    sizes = forest.groupBy("seed").agg(F.count("*").alias("m"))
-    large = forest.join(sizes.where(F.col("m") > SMALL).select("seed"), "seed", "left_semi")
-    point = nodes.select("node", "point")
-    small = forest.join(sizes.where(F.col("m") <= SMALL), "seed").drop("typical").withColumn("component", F.col("node")).join(point, "node")
-    first = star_pairs(large, nodes, percent).union(open_pairs(small, percent)).distinct()
-    first = stored(narrowed(first, wide, percent), "jaccard-pairs")
-    sets = stored(sets_of(docs, members(first), width), "jaccard-sets")
-    links = stored(verified(first, sets, percent), "jaccard-links")
-    near = stored(connected(links, "jaccard-cc"), "jaccard-near")
-    rest = large.drop("typical").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
-                  .where("x < y").select("seed", "m"))
+    rest = forest.withColumn("component", F.col("node"))
+    tried, sets, links = [], None, None
+
+    def checked(pairs: DataFrame) -> None:
+        """Adds the links among new pairs; sets move once."""
+        nonlocal sets, links
+        more = members(pairs)
+        for earlier in tried:
+            more = more.join(members(earlier), "node", "left_anti")
+        found = stored(sets_of(docs, more, width), "jaccard-sets")
+        sets = found if sets is None else sets.union(found)
+        found = verified(pairs, sets, percent)
+        links = stored(found if links is None else links.union(found), "jaccard-links")
+        tried.append(pairs)
+
+    for turn in range(STARS):
+        pairs = narrowed(star_pairs(rest, nodes, percent, turn > 0), wide, percent)
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+        checked(stored(pairs, "jaccard-pairs"))
+        near = connected(links, "jaccard-cc")
+        rest = forest.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
+                      .where("x < y").select("seed", "m"))
+        rest = stored(rest.join(open_trees, "seed").select(*forest.columns, "component", "m"), "jaccard-open")
     # near copies that are no links are many pairs: the finer vectors rule them out inside the tree
-    rest = rest.join(open_trees, "seed").join(wide.withColumnRenamed("wide", "point"), "node")
-    pairs = stored(open_pairs(rest, percent, np.uint8, WIDE).join(first, ["u", "v"], "left_anti"), "jaccard-pairs")
+    rest = rest.drop("typical").join(wide.withColumnRenamed("wide", "point"), "node")
+    pairs = open_pairs(rest, percent, np.uint8, WIDE)
+    for earlier in tried:
+        pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+    pairs = stored(pairs, "jaccard-pairs")
     if pairs.take(1):
-        more = members(pairs).join(members(first), "node", "left_anti")
-        sets = sets.union(stored(sets_of(docs, more, width), "jaccard-sets"))
-        links = stored(links.union(verified(pairs, sets, percent)), "jaccard-links")
+        checked(pairs)
     # rows that share an id are one document: their sets are linked too
     shared = known.select("doc_id", "node").distinct()
     twice = shared.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("k")).where("k > 1")

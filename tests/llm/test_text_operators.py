@@ -162,6 +162,32 @@ def test_similarity_without_rows_or_ids(spark):
     assert jaccard.components(df.limit(0), 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("words_", [200, 60])
+def test_pairs_follow_the_members_of_a_group(spark, monkeypatch, words_):
+    """Groups of near copies, linked to each other (200 words) or hardly (60): pairs that are looked at stay in proportion to the texts."""
+    rng = random.Random(1)
+    texts = []
+    for group, size in enumerate((20, 40, 48, 49, 400)):
+        base = [f"g{group}w{k}" for k in range(words_)]
+        for k in range(size):
+            mine = list(base)
+            mine[rng.randrange(words_)] = f"new{group}x{k}"
+            texts.append(" ".join(mine))
+    seen = []
+    for name in ("star_pairs", "open_pairs"):
+        job = getattr(jaccard, name)
+
+        def counted(*args, job=job, **more):
+            out = stored(job(*args, **more), "pairs")
+            seen.append(out.count())
+            return out
+
+        monkeypatch.setattr(jaccard, name, counted)
+    got = sorted(map(tuple, jaccard.components(table(spark, texts), 4, 85).collect()))
+    assert got == brute_components(texts, 4, 85)
+    assert words_ == 60 or sum(seen) <= 4 * len(texts)
+
+
 def test_tree_bound_loses_no_pair():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 9, (300, 6))
