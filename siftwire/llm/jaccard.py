@@ -29,8 +29,8 @@ BLOCK = 4096
 WIDE = 1024
 #: Trees of so many texts are searched row by row.
 SMALL = 48
-#: Rounds of stars before what they leave unconnected is searched.
-STARS = 2
+#: Rounds of stars before what they leave unconnected is searched; each reads the texts again for sets it hasn't met.
+STARS = 1
 
 
 ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
@@ -338,9 +338,12 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         open_trees = (rest.groupBy("seed").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
                       .where("x < y").select("seed", "m"))
         rest = stored(rest.join(open_trees, "seed").select(*forest.columns, "component", "m"), "jaccard-open")
-    # near copies that are no links are many pairs: the finer vectors rule them out inside the tree
-    rest = rest.drop("typical").join(wide.withColumnRenamed("wide", "point"), "node")
-    pairs = open_pairs(rest, percent, np.uint8, WIDE)
+    # near copies that are no links are many pairs in a large tree: there the finer vectors rule them out inside the
+    # tree; small trees are many, and their few pairs meet the finer vectors one by one
+    rest = rest.drop("typical")
+    large = rest.where(F.col("m") > SMALL).join(wide.withColumnRenamed("wide", "point"), "node")
+    small = rest.where(F.col("m") <= SMALL).join(nodes.select("node", "point"), "node")
+    pairs = open_pairs(large, percent, np.uint8, WIDE).union(narrowed(open_pairs(small, percent), wide, percent)).distinct()
     for earlier in tried:
         pairs = pairs.join(earlier, ["u", "v"], "left_anti")
     pairs = stored(pairs, "jaccard-pairs")
