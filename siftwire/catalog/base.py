@@ -30,7 +30,7 @@ def dealt(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     alone = spark.sparkContext.master.startswith("local[")
     parts = spark.conf.get("spark.siftwire.partitions", None) or (alone and spark.sparkContext.defaultParallelism)
-    return df.repartition(int(parts)) if parts and not df.isStreaming else df
+    return df.repartition(int(parts)) if parts else df
 
 
 def msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
