@@ -14,7 +14,7 @@ from siftwire.catalog import QUERIES
 
 HEADLINE = (
     "b5_first_wins", "b2_html_to_text", "c5_normalise", "d4_term_frequency", "d5_vocabulary", "e1_stratified_split",
-    "e4_score", "f2_top_features", "g11_classify_links", "g11_classify_distinct_hosts", "h_all_flags", "j1_decide",
+    "e3_fit_and_evaluate", "e4_score", "f2_top_features", "g11_classify_links", "g11_classify_distinct_hosts", "h_all_flags", "j1_decide",
     "l1_rule_stream",
 )
 
