@@ -22,7 +22,11 @@ from pyspark.sql import types as T
 from .common import WordHashes, buckets, connected, cut, joined, shingles, stored, words
 
 #: Counters of the frequency sketch that orders shingles; groups of a count vector; points of a leaf.
-SKETCH, GROUPS, LEAF = 1 << 20, 64, 16
+SKETCH, GROUPS, LEAF = 1 << 20, 256, 16
+#: Groups after neighbouring ones are added up: the first look at a pair of a small tree.
+COARSE = 64
+#: A count of a vector at its end may be larger, and such a vector rules nothing out.
+FULL = 255
 #: Texts of one tree that are searched as one block; larger trees are searched block against block.
 BLOCK = 4096
 #: Groups of a second, finer count vector: with few groups large sets, and near copies, look alike.
@@ -33,7 +37,7 @@ SMALL = 48
 STARS = 1
 
 
-ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint16, GROUPS)])
+ATTR = np.dtype([("doc", np.int64), ("null", np.bool_), ("node", np.int64), ("n", np.int32), ("typical", np.int32), ("point", np.uint8, GROUPS)])
 WIDE_ROW = np.dtype([("node", np.int64), ("wide", np.uint8, WIDE)])
 SEED = np.dtype([("seed", np.uint64), ("node", np.int64)])
 #: Bits of the filter that tells which sets are in some tree; at worst it lets all of them through.
@@ -87,8 +91,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups that shingles are hashed into; a count beyond 16 bits stays at their end."""
-    return np.minimum(np.bincount(((s >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535)
+    """Counts of the groups that shingles are hashed into; a count beyond 8 bits stays at their end."""
+    return np.minimum(np.bincount(((s >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), FULL)
 
 
 def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
@@ -115,7 +119,7 @@ def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buck
                     if node not in done:
                         done.add(node)
                         one = np.zeros(1, WIDE_ROW)
-                        one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255)
+                        one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), FULL)
                         wide.append(one)
                         row = np.zeros(prefix_length(len(s), percent), SEED)
                         row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
@@ -164,7 +168,7 @@ def narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
                     ok.append(True)
                     continue
                 p, q = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
-                ok.append(bool(p.max() == 255 or q.max() == 255 or np.minimum(p, q).sum() >= need(p.sum(), q.sum(), percent)))
+                ok.append(bool(p.max() == FULL or q.max() == FULL or np.minimum(p, q).sum() >= need(p.sum(), q.sum(), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     rows = pairs.join(wide.toDF("u", "a"), "u", "left").join(wide.toDF("v", "b"), "v", "left")
@@ -281,10 +285,10 @@ def star_pairs(forest: DataFrame, nodes: DataFrame, percent: int, again: bool) -
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("p", "q"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("p", "q"))
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
             ok = np.minimum(p, q).sum(1, dtype=np.int64) >= need(n, m, percent)
-            ok |= (p == 65535).any(1) | (q == 65535).any(1)
+            ok |= (p == FULL).any(1) | (q == FULL).any(1)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
     return pairs.select("u", "v", "n", "m", "p", "q").mapInArrow(bounded, "u long, v long")
@@ -343,7 +347,7 @@ def components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = rest.drop("typical")
     large = rest.where(F.col("m") > SMALL).join(wide.withColumnRenamed("wide", "point"), "node")
     small = rest.where(F.col("m") <= SMALL).join(nodes.select("node", "point"), "node")
-    pairs = open_pairs(large, percent, np.uint8, WIDE).union(narrowed(open_pairs(small, percent), wide, percent)).distinct()
+    pairs = open_pairs(large, percent, WIDE).union(narrowed(open_pairs(small, percent), wide, percent)).distinct()
     for earlier in tried:
         pairs = pairs.join(earlier, ["u", "v"], "left_anti")
     pairs = stored(pairs, "jaccard-pairs")
@@ -374,10 +378,11 @@ def _start_of_last(batch: pa.RecordBatch) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def open_pairs(rest: DataFrame, percent: int, kind: type = np.uint16, width: int = GROUPS) -> DataFrame:
-    """Distinct (u, v) of different components in one tree that the count vectors (of this type and width) can't rule out.
+def open_pairs(rest: DataFrame, percent: int, width: int = GROUPS) -> DataFrame:
+    """Distinct (u, v) of different components in one tree that the count vectors (of this width) can't rule out.
 
-    A tree of many blocks is searched block against block, so no task holds more than two of them.
+    A tree of many blocks is searched block against block, so no task holds more than two of them.  In a
+    small tree the pairs that pass the sums of neighbouring groups are held to the groups themselves.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -408,8 +413,9 @@ def open_pairs(rest: DataFrame, percent: int, kind: type = np.uint16, width: int
         if table is None:
             return
         seed, i, j, own, n, node, of = (table.column(c).to_numpy() for c in ("seed", "i", "j", "own", "n", "node", "component"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), kind).reshape(-1, width)
-        most = np.iinfo(kind).max
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, width)
+        coarse = points.reshape(-1, COARSE, width // COARSE).sum(2, dtype=np.uint16)
+        full = (points == FULL).any(1)
         first = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         end = np.append(first[1:], len(seed))
         small = end - first <= SMALL
@@ -418,17 +424,19 @@ def open_pairs(rest: DataFrame, percent: int, kind: type = np.uint16, width: int
         last = np.repeat(end, end - first)
         row = np.flatnonzero(np.repeat(small, end - first))
         times = last[row] - row - 1
-        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // (6_400_000 // width))):
+        for part in np.array_split(np.arange(len(row)), max(1, int(times.sum()) // (6_400_000 // COARSE))):
             a = np.repeat(row[part], times[part])
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
             ok = (of[a] != of[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
             a, b = a[ok], b[ok]
-            ok = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) >= need(n[a], n[b], percent)
-            ok |= (points[a] == most).any(1) | (points[b] == most).any(1)
-            found.append((a[ok], b[ok]))
+            for counted in (coarse, points):
+                ok = np.minimum(counted[a], counted[b]).sum(1, dtype=np.int64) >= need(n[a], n[b], percent)
+                ok |= full[a] | full[b]
+                a, b = a[ok], b[ok]
+            found.append((a, b))
         for s, e in zip(first[~small].tolist(), end[~small].tolist(), strict=True):
             wide = points[s:e].astype(np.int64)
-            wide[wide == most] = 1 << 40  # such counts may be larger and rule nothing out
+            wide[wide == FULL] = 1 << 40  # such counts may be larger and rule nothing out
             left, right = (np.flatnonzero(own[s:e] == x) for x in (i[s], j[s]))
             for x, y in tree_pairs(wide[left], n[s:e][left], wide[right], n[s:e][right], percent):
                 a, b = s + left[x], s + right[y]
