@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, buckets, cut, in_fold, joined, stored, words
 
-#: A word with this share of the training tokens travels with the tasks; at most 100,000 words can have it.
-FREQUENT = 1e-5
+#: A word with this share of the training tokens travels with the tasks; at most 1,000,000 words can have it (8 MB of keys, 256 MB of counters a task).
+FREQUENT = 1e-6
+#: Words whose counters are sent at once.
+SENT = 50_000
 #: A word with this share is exchanged by itself, at most 1,000; the others start from their last two bytes, in 256 kinds.
 OWN, ENDINGS = 1e-3, 256
 CLASSES, SWEEPS, ADD = 32, 6, 0.1
@@ -198,7 +200,7 @@ def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.
                         met[1].append(tk[away])
                         met[2].append(np.full(int(away.sum()), shift, np.uint8))
                         continue
-                    code = of[np.where(away, 0, oi)] + shift
+                    code = of[np.where(away, 0, oi)].astype(np.int64) + shift
                     both = ~away & (ti != RARE)
                     np.add.at(dense, ti[both].astype(np.int64) * wide + code[both], 1)
                     mine = ~away & (ti == RARE)
@@ -226,11 +228,12 @@ def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.
                     yield from sent(ids, every)
                     ids, every, held = [], [], 0
         yield from sent(ids, every)
-        cell = np.flatnonzero(dense)
-        key = often[cell // wide]
-        out = [(b, 2, *raw) for b, raw in cut([key, (cell % wide).astype(np.uint8), dense[cell]], _bucket(key, n), n)]
-        if out:
-            yield _batch(out)
+        for start in range(0, len(dense), SENT * wide):
+            cell = np.flatnonzero(dense[start:start + SENT * wide]) + start
+            key = often[cell // wide]
+            out = [(b, 2, *raw) for b, raw in cut([key, (cell % wide).astype(np.uint8), dense[cell]], _bucket(key, n), n)]
+            if out:
+                yield _batch(out)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own, of = joined(right["keys"], np.uint64), joined(right["classes"], np.uint8)
@@ -293,7 +296,7 @@ def _among(known: DataFrame, keys: np.ndarray) -> np.ndarray:
 
     rows = known.select("keys", "classes").mapInArrow(run, "keys binary, classes binary").collect()
     own, of = joined([r["keys"] for r in rows], np.uint64), joined([r["classes"] for r in rows], np.uint8)
-    return of[np.argsort(own)].astype(np.int64)
+    return of[np.argsort(own)]
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -373,8 +376,8 @@ def train(docs: DataFrame, folds: int, table: DataFrame, n: int) -> tuple[Model,
     if not tokens:
         move = np.full((CLASSES, CLASSES), -np.log10(CLASSES))
         none = table.selectExpr("bucket", "keys", "keys AS classes").limit(0)
-        return Model(keys, number, np.zeros(0, np.int64), 0, np.zeros(ENDINGS, np.int64), move, np.full(CLASSES, np.log10(ADD)), 0, 0), none
-    found = stored(coded(docs, folds, keys), "brown-tokens")
+        return Model(keys, number, np.zeros(0, np.uint8), 0, np.zeros(ENDINGS, np.int64), move, np.full(CLASSES, np.log10(ADD)), 0, 0), none
+    found = stored(coded(docs, folds, keys), "brown-tokens", "zstd")
     start = exchange(pairs(found, keys, units))
     shared = docs.sparkSession.sparkContext.broadcast((units, start))
 
@@ -390,7 +393,7 @@ def train(docs: DataFrame, folds: int, table: DataFrame, n: int) -> tuple[Model,
     for turn in range(ROUNDS + 1):
         classes = _among(known, keys)
         around = contexts(found, known, keys, classes, n)
-        around = stored(around, "brown-contexts") if turn < ROUNDS else around  # after the last round only the class bigrams count
+        around = stored(around, "brown-contexts", "zstd") if turn < ROUNDS else around  # after the last round only the class bigrams count
         bigrams = np.sum([np.frombuffer(r["table"], np.int64) for r in around.select("table").collect()], 0).reshape(CLASSES, CLASSES).astype(float)
         likely = _f(bigrams).sum() - _f(bigrams.sum(1)).sum() - _f(bigrams.sum(0)).sum()
         if likely <= best:

@@ -54,11 +54,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written once and read again: lineage ends here, and no later loss repeats the work."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The table written once, by the session's codec or a named one, and read again: lineage ends here, and no later loss repeats the work."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     # shuffle files of the steps behind it are deleted once the driver finds them unused
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
