@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets, cut, in_fold, joined, stored, words
+from .common import WordHashes, buckets, cut, dropped, in_fold, joined, stored, words
 
 #: A word with this share of the training tokens travels with the tasks; at most 1,000,000 words can have it (8 MB of keys, 256 MB of counters a task).
 FREQUENT = 1e-6
@@ -237,11 +237,9 @@ def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own, of = joined(right["keys"], np.uint64), joined(right["classes"], np.uint8)
-        out = []
-        for a, b, c in zip(left["a"], left["b"], left["c"], strict=True):
-            code = of[np.searchsorted(own, np.frombuffer(a, np.uint64))] + np.frombuffer(c, np.uint8)
-            target = np.frombuffer(b, np.uint64)
-            out += [(k, 1, *raw, b"") for k, raw in cut([target, code], _bucket(target, n), n)]
+        target = joined(left["b"], np.uint64)
+        code = of[np.searchsorted(own, joined(left["a"], np.uint64))] + joined(left["c"], np.uint8)
+        out = [(k, 1, *raw, b"") for k, raw in cut([target, code], _bucket(target, n), n)]
         return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"])
 
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -401,6 +399,8 @@ def train(docs: DataFrame, folds: int, table: DataFrame, n: int) -> tuple[Model,
         best, kept = likely, (known, classes, bigrams)
         if turn < ROUNDS:
             known = stored(moved(around, bigrams, turn), "brown-classes")
+            dropped(around)
+    dropped(found)
     known, classes, bigrams = kept
     types = np.sum([np.bincount(np.frombuffer(r["classes"], np.uint8), minlength=CLASSES) for r in known.select("classes").toLocalIterator()], 0)
     move = np.log10((bigrams + ADD) / (bigrams.sum(1, keepdims=True) + ADD * CLASSES))
@@ -475,7 +475,9 @@ def score(docs: DataFrame, folds: int) -> DataFrame:
             key.append(np.frombuffer(b, np.uint64))
             log.append(np.bincount(pair[:, 0], np.log10(n + ADD), minlength=len(key[-1])))
             hit.append(np.bincount(pair[:, 0], n > 0, minlength=len(key[-1])))
-            place = np.zeros(int(seen.sum()), PLACE)  # an unseen word keeps the class of its ending
+            if len(words_):  # the others keep the class of their ending, which their texts already have
+                seen &= of[at] != shared.value.endings[(word & np.uint64(ENDINGS - 1)).astype(np.int64)]
+            place = np.zeros(int(seen.sum()), PLACE)
             place["key"], place["place"] = key[-1][pair[seen, 0]], pair[seen, 1]
             place["of"] = of[at[seen]] if len(words_) else 0
             places.append(place)

@@ -64,6 +64,14 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once what was made of it is written too."""
+    spark = table.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most so many rows, cut earlier once ``column`` has so many bytes."""
     for batch in batches:
