@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from siftwire.llm import ann, queries, warc
-from siftwire.llm.common import scratch, stored
+from siftwire.llm.common import dropped, scratch, stored
 
 import corpus_pipeline
 
@@ -85,3 +85,13 @@ def test_pipeline_stages_keep_columns_and_decide(spark):
         docs = out
     assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_dropped_table_is_gone_and_no_other(spark):
+    df = spark.range(1000).withColumn("x", F.lit("same"))
+    first, second = stored(df, "dropped", "zstd"), stored(df, "dropped")
+    of = [{f.rsplit("/", 1)[0].removeprefix("file://") for f in t.inputFiles()}.pop() for t in (first, second)]
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+    dropped(first)
+    assert [os.path.exists(path) for path in of] == [False, True] and second.count() == 1000
+    dropped(stored(df.limit(0), "dropped"))
