@@ -308,6 +308,28 @@ def test_scores_against_brute_force(spark):
     assert brown.score(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
 
 
+def test_scores_are_the_plain_sum_over_class_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 0.01)  # most words are looked up in buckets
+    texts = rng_texts(120) + ODD
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    model, known = brown.train(docs, 3, brown.counts(docs, 3, 8), 8)
+    of = {k: c for r in known.collect() for k, c in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint8).tolist(), strict=True)}
+    seen = brown.Hashes()
+    tokens = [(t or "").encode("utf-8", "surrogatepass").lower().split() + [None] for t in texts]
+    c = Counter(w for d, x in enumerate(tokens) for w in x if zlib.crc32(str(d).encode()) % 3)
+
+    def kind(w):
+        return model.end if w is None else of.get(seen[w], int(model.endings[seen[w] & 255]))
+
+    want = {}
+    for d, x in enumerate(tokens):
+        kinds = [model.end, *map(kind, x)]
+        want[d] = sum(math.log10(c[w] + .1) + model.move[a, b] - model.below[b] for w, a, b in zip(x, kinds, kinds[1:]))
+    assert len(set(of.values())) > 1 and any(of.get(seen[w], -1) not in (-1, model.endings[seen[w] & 255]) for x in tokens for w in x if w is not None)
+    for r in brown.score(docs, 3).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
 def test_rare_words_get_the_class_of_their_contexts(spark):
     rng = random.Random(8)
     rare = [f"{'ab'[k % 2]}{k}zz" for k in range(600)]  # one ending, two kinds of contexts, each word far below the share of a unit
