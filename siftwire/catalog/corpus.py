@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import entities
 from ..functions import text as t
 from ..operators import corpus as c
 from ..plans.messages import read_table
@@ -182,16 +185,37 @@ add("b1_clean_text", lambda s, d: docs(s, d).select("doc_id", t.clean(F.col("tex
 
 
 def _html_sql() -> str:
+    """Tags as above; references by a join of every start of a piece with the table of names, longest first."""
     e = "regexp_replace(html, '(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>', ' ', 'g')"
     e = f"regexp_replace({e}, '(?i)<br\\s*/?>|</p>|</div>|</tr>', chr(10), 'g')"
     e = f"regexp_replace({e}, '<[^>]+>', ' ', 'g')"
-    for name, char in t.ENTITIES.items():
-        e = f"replace({e}, {q.quoted(name)}, {q.quoted(char)})"
-    return e
+
+    def spelled(s: str) -> str:
+        return " || ".join(f"chr({ord(x)})" for x in s)
+
+    names = ", ".join(f"({q.quoted(name)}, {spelled(value)})" for name, value in html5.items())
+    c1 = ", ".join(spelled(x) for x in entities.C1)
+    return f"""WITH names(name, val) AS (VALUES {names}),
+base AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, {e} AS t FROM pages),
+cut AS (SELECT rid, unnest(string_split(t, '&')) AS p, generate_subscripts(string_split(t, '&'), 1) AS i FROM base),
+starts AS (SELECT rid, i, p, unnest(generate_series(2, least(length(p), 32))) AS k FROM cut WHERE i > 1),
+found AS (SELECT rid, i, arg_max(val, k) AS val, max(k) AS k FROM starts JOIN names ON names.name = p[1:k] GROUP BY rid, i),
+nums AS (SELECT rid, i, p, regexp_extract(p, '^#0*([0-9]+)', 1) AS d, regexp_extract(p, '^#[xX]0*([0-9a-fA-F]+)', 1) AS h FROM cut
+         WHERE i > 1 AND regexp_matches(p, '^#([0-9]|[xX][0-9a-fA-F])')),
+valued AS (SELECT rid, i, p, CASE WHEN length(d) > 7 OR length(h) > 6 THEN 1114112 WHEN d <> '' THEN d::BIGINT ELSE ('0x' || h)::BIGINT END AS n FROM nums),
+chars AS (SELECT rid, i, regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '') AS rest,
+  CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN [{c1}][n - 127]
+       WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN ''
+       ELSE chr(n::INT) END AS val FROM valued),
+parts AS (SELECT c.rid, c.i, CASE WHEN c.i = 1 THEN c.p WHEN h.val IS NOT NULL THEN h.val || h.rest
+    WHEN f.k IS NOT NULL THEN f.val || c.p[f.k + 1:] ELSE '&' || c.p END AS v
+  FROM cut c LEFT JOIN chars h ON c.rid = h.rid AND c.i = h.i LEFT JOIN found f ON c.rid = f.rid AND c.i = f.i),
+whole AS (SELECT rid, string_agg(v, '' ORDER BY i) AS text FROM parts GROUP BY rid)
+SELECT b.page_id, w.text FROM base b LEFT JOIN whole w ON b.rid = w.rid"""
 
 
 add("b2_html_to_text", lambda s, d: read_table(s, d, "pages").select("page_id", t.html_to_text(F.col("html")).alias("text")),
-    f"SELECT page_id, {_html_sql()} AS text FROM pages")
+    _html_sql())
 add("b3_dedup_key", lambda s, d: docs(s, d).select("doc_id", t.dedup_key(F.col("text")).alias("key")),
     f"SELECT doc_id, {key_sql('text')} AS key FROM documents")
 add("b4_short_keys", lambda s, d: c.prepare(corpus(s, d)).groupBy("source").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import rx
+from . import entities, rx
 from .rows import bound
 
 # --- fixed values: length limits in characters; texts are taken whole unless a caller passes them ----
@@ -33,15 +33,6 @@ _EDGE_SPACE = rf"^[{rx.SPACE}]+|[{rx.SPACE}]+\z"
 _SPACES = rf"[{rx.SPACE}]+"
 _WORD_RUN = rf"[{rx.WORD}]+"
 
-# --- fixed values: common named entities (the ampersand itself goes last) -----------------------------
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©",
-    "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
-    "&yen;": "¥", "&cent;": "¢", "&deg;": "°", "&times;": "×", "&amp;": "&",
-}
-
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind from both ends."""
@@ -66,13 +57,11 @@ def clean(text: Column, limit: int | None = None) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Style and script bodies out, line-ending tags to newlines, other tags to spaces, entities resolved."""
+    """Style and script bodies out, line-ending tags to newlines, other tags to spaces, character references resolved."""
     c = F.regexp_replace(html, r"(?is)<(style|script)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, rf"(?iu)<br[{rx.SPACE}]*/?>|</p>|</div>|</tr>", "\n")
     c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    return entities.resolve(c)
 
 
 def dedup_key(text: Column) -> Column:
