@@ -104,10 +104,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; each word is hashed once as long as it is remembered."""
+    """Word to 64-bit hash; each word is hashed once as long as it is remembered (``most`` words at a time)."""
+
+    def __init__(self, most: int = CACHE_WORDS):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

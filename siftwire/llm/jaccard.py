@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, buckets, connected, cut, joined, shingles, stored, words
+from .common import WordHashes, buckets, connected, cut, joined, shingles, slices, stored, words
 
+#: Words whose hashes a task remembers; texts are cut into parts of so many rows and bytes, which bounds what a task holds.
+REMEMBERED, ROWS, BYTES = 100_000, 500, 2 << 20
 #: Counters of the frequency sketch that orders shingles; groups of a count vector; points of a leaf.
 SKETCH, GROUPS, LEAF = 1 << 20, 256, 16
 #: Groups after neighbouring ones are added up: the first look at a pair of a small tree.
@@ -44,6 +46,14 @@ SEED = np.dtype([("seed", np.uint64), ("node", np.int64)])
 FILTER_BITS = 26
 
 
+def parted(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches; what a batch has held goes back to the system before the next one is read."""
+    for batch in batches:
+        yield from slices(iter([batch]), "text", ROWS * times, BYTES * times)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _sets(column, width: int, seen: WordHashes) -> Iterator[np.ndarray]:
     for text in column.to_pylist():
         s = shingles(seen.of(words(text)), width)
@@ -64,11 +74,10 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     parts = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = WordHashes(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                found = [np.zeros(0, np.uint64), *_sets(batch.column("text").slice(k, 2000), width, seen)]
-                total += np.bincount((np.concatenate(found) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        seen, total = WordHashes(REMEMBERED), np.zeros(SKETCH, np.int64)
+        for batch in parted(batches):
+            found = np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column("text"), width, seen)])
+            np.add.at(total, (found % np.uint64(SKETCH)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())],
                                          names=["part", "counts"])
 
@@ -103,32 +112,31 @@ def seeds(docs: DataFrame, width: int, percent: int, classes: np.ndarray, n_buck
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rank, done = WordHashes(), shared.value, set()
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                part, out, wide = batch.slice(k, 2000), [], []
-                ids = part.column("doc_id").to_pylist()
-                attrs = np.zeros(len(part), ATTR)
-                for i, s in enumerate(_sets(part.column("text"), width, seen)):
-                    node = name(s)
-                    attrs[i]["doc"], attrs[i]["null"], attrs[i]["node"], attrs[i]["n"] = ids[i] or 0, ids[i] is None, node, len(s)
-                    if not len(s) or ids[i] is None:
-                        continue
-                    level = rank[(s % np.uint64(SKETCH)).astype(np.int64)]
-                    attrs[i]["typical"], attrs[i]["point"] = level.mean() * 1000, point(s)
-                    if node not in done:
-                        done.add(node)
-                        one = np.zeros(1, WIDE_ROW)
-                        one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), FULL)
-                        wide.append(one)
-                        row = np.zeros(prefix_length(len(s), percent), SEED)
-                        row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
-                        out.append(row)
-                found = [(-1, attrs.tobytes()), (-2, np.concatenate([np.zeros(0, WIDE_ROW), *wide]).tobytes())]
-                if out:
-                    rows = np.concatenate(out)
-                    found += [(b, raw) for b, (raw,) in cut([rows], (rows["seed"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([raw for _, raw in found], pa.binary())], names=["bucket", "rows"])
+        seen, rank, done = WordHashes(REMEMBERED), shared.value, set()
+        for part in parted(batches, 4):  # few small pieces a bucket
+            out, wide = [], []
+            ids = part.column("doc_id").to_pylist()
+            attrs = np.zeros(len(part), ATTR)
+            for i, s in enumerate(_sets(part.column("text"), width, seen)):
+                node = name(s)
+                attrs[i]["doc"], attrs[i]["null"], attrs[i]["node"], attrs[i]["n"] = ids[i] or 0, ids[i] is None, node, len(s)
+                if not len(s) or ids[i] is None:
+                    continue
+                level = rank[(s % np.uint64(SKETCH)).astype(np.int64)]
+                attrs[i]["typical"], attrs[i]["point"] = level.mean() * 1000, point(s)
+                if node not in done:
+                    done.add(node)
+                    one = np.zeros(1, WIDE_ROW)
+                    one["node"], one["wide"] = node, np.minimum(np.bincount(((s >> np.uint64(30)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), FULL)
+                    wide.append(one)
+                    row = np.zeros(prefix_length(len(s), percent), SEED)
+                    row["seed"], row["node"] = s[np.argsort(level, kind="stable")[:len(row)]], node
+                    out.append(row)
+            found = [(-1, attrs.tobytes()), (-2, np.concatenate([np.zeros(0, WIDE_ROW), *wide]).tobytes())]
+            if out:
+                rows = np.concatenate(out)
+                found += [(b, raw) for b, (raw,) in cut([rows], (rows["seed"] % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([raw for _, raw in found], pa.binary())], names=["bucket", "rows"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
 
@@ -214,18 +222,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done = WordHashes(), set()
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                out = []
-                for s in _sets(batch.column("text").slice(k, 2000), width, seen):
-                    node = name(s)
-                    at = node & (size - 1)
-                    if node >= 0 and node not in done and shared.value[at >> 3] >> (7 - (at & 7)) & 1:
-                        done.add(node)
-                        out.append((node, s.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "shingles"])
+        seen, done = WordHashes(REMEMBERED), set()
+        for part in parted(batches):
+            out = []
+            for s in _sets(part.column("text"), width, seen):
+                node = name(s)
+                at = node & (size - 1)
+                if node >= 0 and node not in done and shared.value[at >> 3] >> (7 - (at & 7)) & 1:
+                    done.add(node)
+                    out.append((node, s.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "shingles"])
 
     found = docs.select("text").mapInArrow(run, "node long, shingles binary")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
