@@ -76,17 +76,34 @@ def _triples(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((codes[at[:, 0]] << 10) + (codes[at[:, 1]] << 5) + codes[at[:, 2]]).T, decay
 
 
-def kernel(found: list[str], landmarks: list[str]) -> np.ndarray:
+class Landmarks:
+    """Landmarks as a table: a row for each subsequence code that one of them holds, a column for each landmark."""
+
+    def __init__(self, names: list[str]):
+        parts = [_triples([z]) for z in names]
+        held = [codes[0] for codes, _ in parts]
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *held]).astype(np.int64))
+        self.count, self.used = len(names), np.zeros(1 << 15, bool)
+        self.used[used] = True
+        self.row = np.zeros(1 << 15, np.int32)
+        self.row[used] = np.arange(len(used))
+        self.table = np.zeros((len(used), len(names)))
+        for k, (codes, decay) in enumerate(parts):
+            np.add.at(self.table[:, k], self.row[codes[0]], decay)
+        self.table /= np.maximum(np.sqrt((self.table ** 2).sum(0)), 1e-12)
+
+
+#: Products of a segment's subsequences with the landmarks that are worked out at once, in segments times landmarks.
+AT_ONCE = 32_000
+
+
+def kernel(found: list[str], landmarks: list[str] | Landmarks) -> np.ndarray:
     """Kernel of every segment (rows) with every landmark, 0 to 1."""
-    table = np.zeros((1 << 15, len(landmarks)))
-    for k, z in enumerate(landmarks):
-        codes, decay = _triples([z])
-        np.add.at(table[:, k], codes[0], decay)
-    table /= np.maximum(np.sqrt((table ** 2).sum(0)), 1e-12)
-    used = table.any(1)
-    out = np.zeros((len(found), len(landmarks)))
+    marks = landmarks if isinstance(landmarks, Landmarks) else Landmarks(landmarks)
+    used, table, row = marks.used, marks.table, marks.row
+    out = np.zeros((len(found), marks.count))
     lengths = np.array([len(s) for s in found])
-    at_once = max(50, 4000 * 32 // max(32, len(landmarks)))  # many landmarks make wide rows
+    at_once = max(50, AT_ONCE // max(32, marks.count))  # many landmarks make wide rows
     for n in np.unique(lengths):
         if n < 3:
             continue
@@ -97,7 +114,7 @@ def kernel(found: list[str], landmarks: list[str]) -> np.ndarray:
             if not len(hit):
                 continue
             own, first = np.unique(hit, return_index=True)
-            dots = np.add.reduceat(table[codes[hit, col]] * decay[col, None], first)
+            dots = np.add.reduceat(table[row[codes[hit, col]]] * decay[col, None], first)
             near = dots.max(1) >= 0.25 * np.sqrt((decay ** 2).sum())  # values that can't reach 0.25 count as 0
             own, dots = own[near], dots[near]
             if len(own):
@@ -109,6 +126,10 @@ def kernel(found: list[str], landmarks: list[str]) -> np.ndarray:
     return out ** POWER
 
 
+#: Segments whose kernel values a task holds at once.
+PART = 4096
+
+
 @dataclass
 class Machine:
     """Landmarks, weights of their kernel values, offset, and the sigmoid of the margin."""
@@ -119,8 +140,12 @@ class Machine:
     slope: float
     shift: float
 
+    def __post_init__(self):
+        self.marks = Landmarks(self.landmarks)
+
     def margins(self, found: list[str]) -> np.ndarray:
-        return kernel(found, self.landmarks) @ self.weights + self.offset
+        parts = [kernel(found[k:k + PART], self.marks) @ self.weights for k in range(0, len(found), PART)]
+        return np.concatenate([np.zeros(0), *parts]) + self.offset
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))

@@ -1,6 +1,7 @@
 """Tokenizer, decontamination, line and substring dedup, similarity join, personal data, scores: small cases and brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -363,6 +364,33 @@ def test_exchange_never_loses_ground():
         assert all(b >= a - 1e-9 for a, b in zip(steps, steps[1:], strict=False)) and steps[-1] > steps[0]
 
 
+def test_kernel_against_a_plain_subsequence_sum():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdé ", k=rng.randint(1, 12))) for _ in range(150)]
+    marks = [w for w in words if len(w) >= 3][:40]
+    code = dict(zip(range(128), toxicity._CODES.tolist(), strict=True))
+
+    def sums(word):
+        letters, found = [code.get(ord(c), 28 + (ord(c) & 3)) for c in word], {}
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k < i + toxicity.SPAN:
+                key = letters[i], letters[j], letters[k]
+                found[key] = found.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        return found
+
+    def plain(a, b):
+        x, y = sums(a), sums(b)
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        value = sum(v * y.get(key, 0) for key, v in x.items()) / norm if norm else 0
+        return value ** toxicity.POWER if value >= 0.25 else 0
+
+    got = toxicity.kernel(words, marks)
+    np.testing.assert_allclose(got, [[plain(a, b) for b in marks] for a in words], atol=1e-9)
+    machine = toxicity.Machine(marks, np.arange(len(marks)) - 20.0, 0.5, 1.0, 0.0)
+    np.testing.assert_allclose(machine.margins(words), got @ machine.weights + 0.5, atol=1e-9)
+    assert machine.margins([]).shape == (0,) and toxicity.kernel([], []).shape == (0, 0)
+
+
 def test_toxicity_learns_and_tolerates_gaps(spark):
     rng = random.Random(1)
     names = ["".join(rng.choice("abdefghklmnoprstu") for _ in range(6)) for _ in range(300)]
