@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, joined, mixed, stored
+from .common import buckets, cut, dropped, joined, mixed, stored
 
 #: Bytes of a repeated string and of a head; heads that a string has.
 LENGTH, HEAD = 50, 16
@@ -387,6 +387,7 @@ def removed(docs: DataFrame) -> DataFrame:
     news = stored(judged(anchors(docs, cuts, n), cuts, n), "suffix-news")
     strings = compared(flagged(docs, news.where(f"kind <> {10 + GONE}")), news, n)
     gone = stored(news.where(f"kind = {10 + GONE}").union(settled(strings, n)), "suffix-gone")
+    dropped(news)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         kind = right["kind"].to_numpy()

@@ -95,3 +95,14 @@ def test_a_dropped_table_is_gone_and_no_other(spark):
     dropped(first)
     assert [os.path.exists(path) for path in of] == [False, True] and second.count() == 1000
     dropped(stored(df.limit(0), "dropped"))
+
+
+def test_a_stored_table_leaves_no_shuffle_files_behind(spark):
+    def held():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(os.path.getsize(f) for f in manager.getAllFiles().mkString("\n").split("\n") if os.path.basename(f).startswith("shuffle_"))
+
+    before = held()
+    rows = spark.range(300_000).select((F.col("id") % 100_003).alias("k"), F.md5(F.col("id").cast("string")).alias("s")).groupBy("k").agg(F.max("s").alias("s"))
+    assert stored(rows, "grouped").count() == 100_003
+    assert held() - before < 1 << 20 and rows.count() == 100_003
