@@ -7,6 +7,8 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
+from siftwire.catalog.features import derived_model, light
+from siftwire.operators import explain as x
 from siftwire.operators import features as f
 from siftwire.operators import grams
 from siftwire.operators import model as md
@@ -70,3 +72,21 @@ def test_numbers_too_large_for_one_word_are_counted_alike():
     keys, times = np.array([1 << 61, 5, 1 << 61, 5, 7]), np.array([3, 1, 4, 1, 1])
     assert [x.tolist() for x in grams.counted(keys, times)] == [[5, 7, 1 << 61], [2, 1, 7]]
     assert [x.tolist() for x in grams.counted(keys)] == [[5, 7, 1 << 61], [2, 1, 2]]
+
+
+def test_positions_equal_those_of_the_row_by_row_form_and_no_gram_of_a_message_travels(spark, monkeypatch):
+    monkeypatch.setattr(grams, "LEAST", 20)
+    monkeypatch.setattr(grams, "ROWS", 7)
+    texts = ["free cash, free-cash now", "a.b a b", "a.b.a c b.a a.b.c", "x.x x", "x.x", "", None, "é漢 🙂🙂x ٣ é漢", "aaaa aaaa b-a-b-a end", "... now ... now", "free " * 30]
+    rows = light(spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string"))
+    model = derived_model(f.with_idf(f.vocabulary(f.term_table(rows), {"word": 1, "char": 1}), rows).where("gram <> 'now'"))
+    new = x.feature_table(rows, model)
+    got = {(r.msg_id, r.kind, r.gram): r for r in new.collect()}
+    want = {(r.msg_id, r.kind, r.gram): r for r in x.feature_table(rows, model, at_rest=True).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k].hits == want[k].hits and np.isclose(got[k].c, want[k].c) for k in want)
+    assert any(len(r.hits) == 2 and " " in r.gram and r.kind == "word" for r in got.values())
+    some = {(r.msg_id, r.kind, r.gram): r.hits for r in x.feature_table(rows, model, top=2).collect()}
+    assert len(some) < len(got) and all(got[k].hits == hits for k, hits in some.items())
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(msg_id" not in plan
