@@ -117,3 +117,18 @@ def test_tables_at_rest_need_no_further_placing(spark):
     for job in (x.top_features(feats), feats.groupBy("msg_id").agg(F.sum("c")), x.word_scores(feats), x.feature_table(kept, model, at_rest=True)):
         plan = job._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+
+
+def test_features_of_a_record_are_written_without_a_shuffle_of_grams(spark, tmp_path, monkeypatch):
+    def no_rows_of_grams(*_):
+        raise AssertionError("features of a record come from chunks")
+
+    monkeypatch.setattr("siftwire.operators.explain.expanded", no_rows_of_grams)
+    rows = spark.createDataFrame([(k, f"free prize {k % 7} call now") for k in range(60)], "msg_id long, text string")
+    model = derived_model(f.with_idf(f.vocabulary(f.message_terms(rows)), rows))
+    out = jobs.analyse(rows, model, work_dir=str(tmp_path))
+    written = spark.read.parquet(f"{tmp_path}/features")
+    assert written.count() == written.select("msg_id", "kind", "gram").distinct().count() > 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # only a message's top features are placed by id
+    assert out.count() == 60
