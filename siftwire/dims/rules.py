@@ -270,3 +270,9 @@ CALL_TO_AVOID = (
 
 RULE_BY_ID = {r.id: r for r in RULES}
 SIGNAL_BY_ID = {s.id: s for s in SIGNALS}
+
+#: Everything that is looked for in the text of a message.
+PATTERNS = tuple(dict.fromkeys([
+    *(g for x in (*RULES, *SIGNALS) for g in x.groups or ()), *(s.own_block for s in SIGNALS if s.own_block),
+    PRIZE_STRONG, PRIZE_WIN, PRIZE_WHAT, KYC_ENTITY, KYC_BLOCKISH, CALL_OR_LINK, KYC_THREAT, KYC_DEMAND, KYC_LINK_OR_NUMBER, KYC_BRANCH,
+    PHONE, MOBILE, SHORTENER_LINK, CREDENTIALS, PAYMENT, CALL_TO_AVOID]))

@@ -34,3 +34,14 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
 def bound(value: Column, fn) -> Column:
     """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def with_compact(df: DataFrame, name: str, items: list[Column], kind: str) -> DataFrame:
+    """Add an array column of the items that are not null, of type ``kind``.
+
+    What a lambda function's argument holds is interpreted, not compiled.  So the items are a column of their
+    own, which the optimizer keeps apart because it is used twice.
+    """
+    rows = df.withColumn("_items", F.array(*items))
+    some = F.exists("_items", lambda x: x.isNotNull())
+    return rows.withColumn(name, F.when(some, F.array_compact("_items")).otherwise(F.array().cast(kind))).drop("_items")

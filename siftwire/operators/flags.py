@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..dims import rules as r
 from ..functions import hosts as h
 from ..functions.match import Message, all_of, first, fold, has, literal_map, snippets
-from ..functions.rows import bound, explode_rows
+from ..functions.needles import needles_in
+from ..functions.rows import bound, explode_rows, with_compact
+from .grams import importable
 from .links import mask_official, with_links
 
 FLAG_TYPE = "array<struct<id:string,severity:string,matched:array<string>>>"
@@ -123,15 +125,19 @@ def rule_column(rule_id: str, text: Message, links: Column, masked: Message) ->
     return _grouped(r.RULE_BY_ID[rule_id], text)
 
 
-def with_folded(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_folded`` for the substring tests; dropped again by the operators that need it."""
-    return df if "_folded" in df.columns else df.withColumn("_folded", fold(F.col(text)))
+def with_needles(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_needles`` for the substring tests; dropped again by the operators that need it."""
+    if "_needles" in df.columns:
+        return df
+    importable(df.sparkSession)
+    return df.withColumn("_needles", needles_in(fold(F.col(text))))
 
 
 def _with_masked(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_masked`` and, where it differs from the text, ``_masked_folded``."""
     df = df.withColumn("_masked", mask_official(F.col(text), F.col("link_spans")))
     changed = F.exists("link_spans", lambda x: x["kind"] == "official")
-    return df.withColumn("_masked_folded", F.when(changed, fold(F.col("_masked"))).otherwise(F.col("_folded")))
+    return df.withColumn("_masked_folded", F.when(changed, fold(F.col("_masked"))))
 
 
 def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -139,10 +145,10 @@ def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
     if "links" not in df.columns:
         df = with_links(df, text)
     keep = [*df.columns, "flags"]
-    df = _with_masked(with_folded(df, text), text)
-    msg, masked = Message(text, "_folded"), Message("_masked", "_masked_folded")
+    df = _with_masked(with_needles(df, text), text)
+    msg, masked = Message(text, needles="_needles"), Message("_masked", "_masked_folded", "_needles")
     fired = [rule_column(rule.id, msg, F.col("links"), masked) for rule in r.RULES]
-    return df.withColumn("flags", F.array_compact(F.array(*fired))).select(*keep)
+    return with_compact(df, "flags", fired, FLAG_TYPE).select(*keep)
 
 
 def single_rule(df: DataFrame, rule_id: str, id_col: str = "msg_id", text: str = "text") -> DataFrame:
@@ -152,12 +158,12 @@ def single_rule(df: DataFrame, rule_id: str, id_col: str = "msg_id", text: str =
     """
     rule = r.RULE_BY_ID[rule_id]
     by_text = rule_id == "prize_claim" or (rule.groups is not None and rule_id != "suspicious_link")
-    base = with_folded(df.select(id_col, text), text)
-    msg = Message(text, "_folded")
+    base = with_needles(df.select(id_col, text), text)
+    msg = Message(text, needles="_needles")
     if by_text:
         flagged = base.select(id_col, rule_column(rule_id, msg, F.lit(None), msg).alias("_f"))
     else:
-        masked = Message("_masked", "_masked_folded")
+        masked = Message("_masked", "_masked_folded", "_needles")
         flagged = _with_masked(with_links(base, text), text).select(
             id_col, rule_column(rule_id, msg, F.col("links"), masked).alias("_f"))
     # an array explode keeps the computed struct from being evaluated again by a pushed-down filter

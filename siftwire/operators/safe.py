@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..dims import rules as r
 from ..functions import rx
 from ..functions.match import SNIPPET_CHARS, Message, all_of, first, has, literal_map
-from ..functions.rows import bound
-from .flags import title_of, with_folded
+from ..functions.rows import bound, with_compact
+from .flags import title_of, with_needles
 
+SIGNALS_TYPE = "array<struct<id:string,matched:array<string>,own_block:string>>"
 SAFE_TYPE = (
-    "struct<applies:boolean,signals:array<struct<id:string,matched:array<string>,own_block:string>>,"
+    f"struct<applies:boolean,signals:{SIGNALS_TYPE},"
     "blocked_by:array<struct<kind:string,text:string>>>"
 )
 
@@ -109,10 +110,9 @@ def _blockers(text: Message, links: Column, flags: Column, signals: Column) -> C
 def with_safe(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``safe``: applies, signals, blocked_by.  Needs ``links`` and ``flags``."""
     keep = [*df.columns, "safe"]
-    df = with_folded(df, text)
-    t, links = Message(text, "_folded"), F.col("links")
-    df = df.withColumn("_signals", F.array_compact(F.array(
-        *[signal_column(s.id, t, links) for s in r.SIGNALS])))
+    df = with_needles(df, text)
+    t, links = Message(text, needles="_needles"), F.col("links")
+    df = with_compact(df, "_signals", [signal_column(s.id, t, links) for s in r.SIGNALS], SIGNALS_TYPE)
     blocks = F.when(F.size("_signals") > 0, _blockers(t, links, F.col("flags"), F.col("_signals"))).otherwise(
         F.array().cast("array<struct<kind:string,text:string>>"))
     df = df.withColumn("_blocks", blocks)
@@ -129,8 +129,8 @@ def single_signal(df: DataFrame, signal_id: str, id_col: str = "msg_id", text: s
     from ..functions.rows import explode_rows
     from .links import with_links
 
-    linked = with_links(with_folded(df.select(id_col, text), text), text)
-    msg = Message(text, "_folded")
+    linked = with_links(with_needles(df.select(id_col, text), text), text)
+    msg = Message(text, needles="_needles")
     found = linked.select(id_col, signal_column(signal_id, msg, F.col("links")).alias("_s"))
     rows = explode_rows(found, [id_col], F.array_compact(F.array("_s")), None, "s")
     return rows.select(id_col, F.col("s.matched").alias("matched"), F.col("s.own_block").alias("own_block"))
