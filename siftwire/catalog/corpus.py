@@ -227,7 +227,7 @@ add("b5_first_wins", lambda s, d: c.first_wins(c.prepare(corpus(s, d))).select(
 
 
 def _stats(spark, sf_dir):
-    prepared = c.prepare(corpus(spark, sf_dir))
+    prepared = c.digested(c.prepare(corpus(spark, sf_dir)), work_dir(spark, "b6"))
     return c.source_stats(prepared, c.first_wins(prepared))
 
 

@@ -33,6 +33,15 @@ def prepare(corpus: DataFrame) -> DataFrame:
     return keep_where(keyed, F.length("key") >= MIN_KEY_CHARS)
 
 
+def digested(prepared: DataFrame, path: str) -> DataFrame:
+    """What counts of prepared rows need, written once: label, source, order and, for the key, its SHA-256.
+
+    Cleaning is the larger part of such counts, and texts and whole keys would cross their shuffles.
+    """
+    prepared.select("label", "source", "prio", "ord", F.sha2("key", 256).alias("key")).write.mode("overwrite").parquet(path)
+    return prepared.sparkSession.read.parquet(path)
+
+
 def first_wins(prepared: DataFrame) -> DataFrame:
     """One row per key: the first by (priority, row order).
 
