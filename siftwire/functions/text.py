@@ -125,15 +125,17 @@ def padded_windows(word: Column, low: int = WINDOWS[0], high: int = WINDOWS[1])
 
     A word that is not longer than the window once padded is given whole, once.
     """
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(word) + 2
-    # largest useful window: the padded word itself when it is short
-    top = F.greatest(F.lit(low), F.least(size, F.lit(high)))
-    return F.flatten(F.transform(
-        F.sequence(F.lit(low), top),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-            lambda i: F.substring(padded, i, n))))
+    def cut_up(p: Column) -> Column:
+        # largest useful window: the padded word itself when it is short
+        top = F.greatest(F.lit(low), F.least(F.length(p), F.lit(high)))
+        return F.flatten(F.transform(
+            F.sequence(F.lit(low), top),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))),
+                lambda i: F.substring(p, i, n))))
+
+    # padded once a word, not once a window
+    return bound(F.concat(F.lit(" "), word, F.lit(" ")), cut_up)
 
 
 def char_grams(text: Column) -> Column:
