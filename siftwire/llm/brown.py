@@ -7,17 +7,19 @@ each bucket returns sums and classes by text, so that no table of all words is h
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets, cut, dropped, in_fold, joined, stored, words
+from .common import WordHashes, buckets, cut, dropped, in_fold, joined, slices, stored
 
 #: A word with this share of the training tokens travels with the tasks; at most 1,000,000 words can have it (8 MB of keys, 256 MB of counters a task).
 FREQUENT = 1e-6
@@ -40,9 +42,45 @@ class Hashes(WordHashes):
         return value
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Kind of each ending: of two bytes at their little-endian number, of one byte 65,536 further."""
+    endings = [k.to_bytes(2, "little") for k in range(1 << 16)] + [bytes([k]) for k in range(256)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, endings), np.uint64, len(endings)) % np.uint64(ENDINGS)
+
+
+def numbers(found: pa.Array) -> np.ndarray:
+    """The numbers that ``Hashes`` gives, of a whole array of words without empty ones."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1].astype(np.int64)
+    data = np.frombuffer(found.buffers()[2], np.uint8)
+    last, single = data[ends[1:] - 1].astype(np.int64), np.diff(ends) == 1
+    ending = np.where(single, (1 << 16) + last, data[np.maximum(ends[1:] - 2, 0)] | last << 8)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(found))
+    return hashes & ~np.uint64(ENDINGS - 1) | _kinds()[ending]
+
+
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct words of the texts, each token's place among these, and each text's tokens; words as ``common.words`` cuts them."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(plain, ""), pa.scalar(None, pa.string()), plain))
+    distinct = found.flatten().cast(pa.binary()).dictionary_encode()
+    many = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers(distinct.dictionary), distinct.indices.to_numpy(zero_copy_only=False), many
+
+
+def training(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Array]:
+    """Texts of the rows to learn from, some at a time."""
+    for batch in slices(batches, "text", 1000):
+        keep = [not in_fold(d, folds) for d in batch.column("doc_id").to_pylist()]
+        if any(keep):
+            yield batch.column("text").filter(pa.array(keep))
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of each one's values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
@@ -51,7 +89,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def counts(docs: DataFrame, folds: int, n_buckets: int) -> DataFrame:
     """(bucket, keys, counts): how often each word occurs in the training texts; END once a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, values, held = Hashes(), [], [], 0
+        keys, values, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, v = summed(np.concatenate(keys), np.concatenate(values))
@@ -59,21 +97,17 @@ def counts(docs: DataFrame, folds: int, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())],
                                                  names=["bucket", "keys", "counts"])
 
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                rows = zip(batch.column("doc_id").slice(i, 500).to_pylist(), batch.column("text").slice(i, 500).to_pylist(), strict=True)
-                texts = [seen.of(words(t)) for d, t in rows if not in_fold(d, folds)]
-                if texts:
-                    k, v = np.unique(np.concatenate([np.full(len(texts), END, np.uint64), *texts]), return_counts=True)
-                    keys.append(k)
-                    values.append(v)
-                    held += len(k)
-                if held > 3_000_000:
-                    k, v = summed(np.concatenate(keys), np.concatenate(values))
-                    keys, values, held = [k], [v], len(k)
-                    if held > 1_500_000:
-                        yield from flush()
-                        keys, values, held = [], [], 0
+        for texts in training(batches, folds):
+            k, at, _ = tokenised(texts)
+            keys.append(np.append(k, np.uint64(END)))
+            values.append(np.append(np.bincount(at, minlength=len(k)), len(texts)))
+            held += len(k) + 1
+            if held > 3_000_000:
+                k, v = summed(np.concatenate(keys), np.concatenate(values))
+                keys, values, held = [k], [v], len(k)
+                if held > 1_500_000:
+                    yield from flush()
+                    keys, values, held = [], [], 0
         if keys:
             yield from flush()
 
@@ -132,17 +166,14 @@ def coded(docs: DataFrame, folds: int, keys: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, often = Hashes(), shared.value
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                rows = zip(batch.column("doc_id").slice(i, 500).to_pylist(), batch.column("text").slice(i, 500).to_pylist(), strict=True)
-                texts = [x for d, t in rows if not in_fold(d, folds) for x in (seen.of(words(t)), np.full(1, END, np.uint64))]
-                if texts:
-                    found = np.concatenate([np.full(1, END, np.uint64), *texts])
-                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                    rare = often[at] != found
-                    ids = np.where(rare, RARE, at).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([found[rare].tobytes()], pa.binary())], names=["ids", "rare"])
+        often = shared.value
+        for texts in training(batches, folds):
+            k, at, many = tokenised(texts)
+            place = np.minimum(np.searchsorted(often, k), len(often) - 1)
+            rare = often[place] != k
+            ids = np.full(len(at) + len(many) + 1, np.searchsorted(often, np.uint64(END)), np.uint32)
+            ids[np.arange(len(at)) + np.repeat(np.arange(len(many)), many) + 1] = np.where(rare, RARE, place)[at]
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([k[at[rare[at]]].tobytes()], pa.binary())], names=["ids", "rare"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "ids binary, rare binary")
 
@@ -172,40 +203,43 @@ def pairs(tokens: DataFrame, keys: np.ndarray, units: Units) -> np.ndarray:
     return out
 
 
-def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.ndarray, n: int) -> DataFrame:
+def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.ndarray, n: int, both_sides: bool = True) -> DataFrame:
     """(bucket, keys, classes, cells, counts, table): of every word, how often each class follows and precedes it.
 
     ``keys`` and ``classes`` are those of the frequent words.  The class of another neighbour is
     looked up in that neighbour's bucket.  A cell is the word's place times 2 CLASSES plus the class,
-    CLASSES more if it precedes; ``table`` has the bucket's share of the class bigrams.
+    CLASSES more if it precedes; ``table`` has the bucket's share of the class bigrams, for which
+    the classes that follow are enough.
     """
     shared = tokens.sparkSession.sparkContext.broadcast((keys, classes))
     wide = 2 * CLASSES
+    sides = ((0, slice(None, -1), slice(1, None)), (CLASSES, slice(1, None), slice(None, -1)))[:1 + both_sides]
 
     def run(batches: Iterator[pa.RecordBatch], distant: bool) -> Iterator[pa.RecordBatch]:
         often, of = shared.value
         dense = np.zeros(0 if distant else len(often) * wide, np.uint32)
 
-        def sent(ids: list[np.ndarray], every: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def sent(ids: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if not ids:
                 return
             met = [[], [], []]
             near = [[], []]
-            for i, k in zip(ids, every, strict=True):
-                for shift, target, other in ((0, slice(None, -1), slice(1, None)), (CLASSES, slice(1, None), slice(None, -1))):
-                    ti, oi, tk, ok = i[target], i[other], k[target], k[other]
-                    away = oi == RARE
+            for i, raw in zip(ids, others, strict=True):
+                rare, k = i == RARE, np.zeros(len(i), np.uint64)
+                k[rare] = raw
+                for shift, target, other in sides:
+                    ti, oi, tr, away, tk = i[target], i[other], rare[target], rare[other], k[target]
                     if distant:
-                        met[0].append(ok[away])
-                        met[1].append(tk[away])
-                        met[2].append(np.full(int(away.sum()), shift, np.uint8))
+                        at = np.flatnonzero(away)
+                        met[0].append(k[other][at])
+                        met[1].append(np.where(tr[at], tk[at], often[np.where(tr[at], 0, ti[at])]))
+                        met[2].append(np.full(len(at), shift, np.uint8))
                         continue
-                    code = of[np.where(away, 0, oi)].astype(np.int64) + shift
-                    both = ~away & (ti != RARE)
-                    np.add.at(dense, ti[both].astype(np.int64) * wide + code[both], 1)
-                    mine = ~away & (ti == RARE)
-                    near[0].append(tk[mine])
-                    near[1].append(code[mine].astype(np.uint8))
+                    at = np.flatnonzero(~(tr | away))
+                    np.add.at(dense, ti[at].astype(np.int64) * wide + (of[oi[at]].astype(np.int64) + shift), np.uint32(1))  # a plain 1 is many times slower
+                    at = np.flatnonzero(tr & ~away)
+                    near[0].append(tk[at])
+                    near[1].append(of[oi[at]] + np.uint8(shift))
             if distant:
                 ok, tk, shift = map(np.concatenate, met)
                 out = [(b, 0, *raw) for b, raw in cut([ok, tk, shift], _bucket(ok, n), n)]
@@ -215,19 +249,16 @@ def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.
             if out:
                 yield _batch(out)
 
-        ids, every, held = [], [], 0
+        ids, others, held = [], [], 0
         for batch in batches:
             for x, y in zip(batch.column("ids").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                i = np.frombuffer(x, np.uint32)
-                k = often[np.where(i == RARE, 0, i)]
-                k[i == RARE] = np.frombuffer(y, np.uint64)
-                ids.append(i)
-                every.append(k)
-                held += len(i)
+                ids.append(np.frombuffer(x, np.uint32))
+                others.append(np.frombuffer(y, np.uint64))
+                held += len(ids[-1])
                 if held > 1_000_000:
-                    yield from sent(ids, every)
-                    ids, every, held = [], [], 0
-        yield from sent(ids, every)
+                    yield from sent(ids, others)
+                    ids, others, held = [], [], 0
+        yield from sent(ids, others)
         for start in range(0, len(dense), SENT * wide):
             cell = np.flatnonzero(dense[start:start + SENT * wide]) + start
             key = often[cell // wide]
@@ -244,12 +275,16 @@ def contexts(tokens: DataFrame, known: DataFrame, keys: np.ndarray, classes: np.
 
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own, of = joined(right["keys"], np.uint64), joined(right["classes"], np.uint8)
-        cell, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b, c in zip(left["a"], left["b"], left["c"], strict=True):
-            code = np.frombuffer(b, np.uint8)
-            cell.append(np.searchsorted(own, np.frombuffer(a, np.uint64)) * wide + code)
-            times.append(np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(code), np.int64))
-        cell, times = summed(np.concatenate(cell), np.concatenate(times))
+        single, many = left["kind"] == 1, left["kind"] == 2
+        once, cell = (np.searchsorted(own, joined(left["a"][k], np.uint64)) * wide + joined(left["b"][k], np.uint8) for k in (single, many))
+        times = joined(left["c"][many], np.uint32).astype(np.int64)
+        if len(own) * wide <= 8 * (len(once) + len(cell)):  # a counter for each cell takes no more than the sort
+            total = np.bincount(once, minlength=len(own) * wide)
+            np.add.at(total, cell, times)
+            cell = np.flatnonzero(total)
+            times = total[cell]
+        else:
+            cell, times = summed(np.concatenate([once, cell]), np.concatenate([np.ones(len(once), np.int64), times]))
         follows = cell % wide < CLASSES
         table = np.bincount(of[cell[follows] // wide].astype(np.int64) * CLASSES + cell[follows] % wide, times[follows], CLASSES ** 2)
         return pd.DataFrame({"bucket": [right["bucket"].iat[0]], "keys": [own.tobytes()], "classes": [of.tobytes()], "cells": [cell.astype(np.uint32).tobytes()],
@@ -390,7 +425,7 @@ def train(docs: DataFrame, folds: int, table: DataFrame, n: int) -> tuple[Model,
     best, kept = -np.inf, None
     for turn in range(ROUNDS + 1):
         classes = _among(known, keys)
-        around = contexts(found, known, keys, classes, n)
+        around = contexts(found, known, keys, classes, n, turn < ROUNDS)
         around = stored(around, "brown-contexts", "zstd") if turn < ROUNDS else around  # after the last round only the class bigrams count
         bigrams = np.sum([np.frombuffer(r["table"], np.int64) for r in around.select("table").collect()], 0).reshape(CLASSES, CLASSES).astype(float)
         likely = _f(bigrams).sum() - _f(bigrams.sum(1)).sum() - _f(bigrams.sum(0)).sum()
@@ -427,39 +462,41 @@ def score(docs: DataFrame, folds: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, Hashes()
+        m = shared.value
         logs = np.log10(m.counts + ADD)
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                ids, texts = (batch.column(c).slice(i, 1000).to_pylist() for c in ("doc_id", "text"))
-                rows, row_of, rare, own = np.zeros(len(ids), LOCAL), [], [], []
-                for k, (d, t) in enumerate(zip(ids, texts, strict=True)):
-                    tokens = np.append(seen.of(words(t)), np.uint64(END))
-                    at = np.searchsorted(m.keys, tokens)
-                    at[at == len(m.keys)] = 0
-                    often = m.keys[at] == tokens if len(m.keys) else np.zeros(len(tokens), bool)
-                    local = logs[at[often]].sum() if often.any() else 0.0
-                    of = m.endings[(tokens & np.uint64(ENDINGS - 1)).astype(np.int64)].astype(np.uint8)
-                    if often.any():
-                        of[often] = m.classes[at[often]]
-                    own.append(of.tobytes())
-                    key = xxhash.xxh64_intdigest(f"{d}:".encode() + (t or "").encode("utf-8", "surrogatepass"))
-                    rows[k] = (key, d or 0, d is None, in_fold(d, folds), len(tokens), often.sum(), local)
-                    rare.append(tokens[~often])
-                    place = np.flatnonzero(~often)
-                    row_of.append(np.stack([np.full(len(place), k), place], 1))
-                keys, out = rows["key"], []
-                to = (keys % np.uint64(n_buckets)).astype(np.int64)
-                for b in np.unique(to):
-                    at = np.flatnonzero(to == b)
-                    out.append((b, 0, rows[at].tobytes(), b"".join(own[k] for k in at), b""))
-                other, pair = np.concatenate(rare), np.concatenate(row_of).astype(np.uint32)
-                for b, raw in cut([other, pair], _bucket(other, n_buckets), n_buckets):
-                    pair = np.frombuffer(raw[1], np.uint32).reshape(-1, 2)
-                    used, row = np.unique(pair[:, 0], return_inverse=True)
-                    out.append((b, 1, raw[0], keys[used].tobytes(), np.stack([row, pair[:, 1]], 1).astype(np.uint32).tobytes()))
-                if out:
-                    yield _batch(out)
+        for batch in slices(batches, "text", 1000):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            word, found, many = tokenised(texts)
+            word, many = np.append(word, np.uint64(END)), many + 1  # each text's end is its last token
+            start = np.cumsum(many) - many
+            row = np.repeat(np.arange(len(ids)), many)
+            token = np.full(len(row), len(word) - 1)
+            token[np.arange(len(found)) + np.repeat(np.arange(len(ids)), many - 1)] = found
+            at = np.searchsorted(m.keys, word)
+            at[at == len(m.keys)] = 0
+            often, log = np.zeros(len(word), bool), np.zeros(len(word))
+            of = m.endings[(word & np.uint64(ENDINGS - 1)).astype(np.int64)].astype(np.uint8)
+            if len(m.keys):
+                often = m.keys[at] == word
+                log[often], of[often] = logs[at[often]], m.classes[at[often]]
+            rows = np.zeros(len(ids), LOCAL)
+            raw = pc.fill_null(texts.cast(pa.string()).cast(pa.binary()), b"").to_numpy(zero_copy_only=False)
+            rows["key"] = [xxhash.xxh64_intdigest(f"{d}:".encode() + t) for d, t in zip(ids, raw, strict=True)]
+            rows["doc"], rows["null"], rows["held"] = [d or 0 for d in ids], [d is None for d in ids], [in_fold(d, folds) for d in ids]
+            rows["n"], rows["known"], rows["base"] = many, np.add.reduceat(often[token], start, dtype=np.int64), np.add.reduceat(log[token], start)
+            own, out = of[token].tobytes(), []
+            order = np.argsort(rows["key"] % np.uint64(n_buckets), kind="stable")
+            to = (rows["key"][order] % np.uint64(n_buckets)).astype(np.int64)
+            for group in np.split(order, np.flatnonzero(np.diff(to)) + 1):
+                out.append((int(rows["key"][group[0]] % np.uint64(n_buckets)), 0, rows[group].tobytes(),
+                            b"".join(own[start[k]:start[k] + many[k]] for k in group), b""))
+            rare = np.flatnonzero(~often[token])
+            other, pair = word[token[rare]], np.stack([row[rare], rare - start[row[rare]]], 1).astype(np.uint32)
+            for b, raw in cut([other, pair], _bucket(other, n_buckets), n_buckets):
+                pair = np.frombuffer(raw[1], np.uint32).reshape(-1, 2)
+                first = np.concatenate([[True], pair[1:, 0] != pair[:-1, 0]])  # rows are in order
+                out.append((b, 1, raw[0], rows["key"][pair[first, 0]].tobytes(), np.stack([np.cumsum(first) - 1, pair[:, 1]], 1).astype(np.uint32).tobytes()))
+            yield _batch(out)
 
     def meet(known: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keep = found["kind"] == 0

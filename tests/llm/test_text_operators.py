@@ -9,9 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from siftwire.llm import bpe, brown, decontamination, jaccard, lines, pii, queries, suffixes, toxicity
-from siftwire.llm.common import stored
+from siftwire.llm.common import stored, words
 
 
 
@@ -331,6 +332,43 @@ def test_scores_are_the_plain_sum_over_class_bigrams(spark, monkeypatch):
         assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
 
 
+def test_words_are_numbered_by_arrays():
+    texts = rng_texts(40) + ODD + [None, "", " \t\n\x0b\x0c\r ", "a", " b  B\x1cb\u00a0b\x85 É é 漢字 ", "x" * 70_000]
+    seen = brown.Hashes()
+    want = [seen.of(words(t)) for t in texts]
+    for rows in (pa.array(texts, pa.string()), pa.array(["first", *texts, "last"], pa.large_string()).slice(1, len(texts)), pa.array([*texts, None]).slice(0, len(texts))):
+        keys, at, many = brown.tokenised(rows)
+        assert len(set(keys.tolist())) == len(keys) and many.tolist() == [len(x) for x in want]
+        assert keys[at].tolist() == np.concatenate(want).tolist()
+    for rows in (pa.array([], pa.string()), pa.array([None, "", " "], pa.string())):
+        keys, at, many = brown.tokenised(rows)
+        assert len(keys) == len(at) == sum(many) == 0 and len(many) == len(rows)
+
+
+def test_class_bigrams_need_one_side(spark):
+    docs = spark.createDataFrame([*enumerate(rng_texts(60) + ODD)], "doc_id long, text string")
+    table = stored(brown.counts(docs, 3, 4), "c")
+    keys, _ = brown.frequent(table, 20)
+    found = stored(brown.coded(docs, 3, keys), "t")
+
+    def dealt(keys):
+        return (keys >> np.uint64(8)) % np.uint64(7)
+
+    known = spark.createDataFrame([(r["bucket"], bytes(r["keys"]), dealt(np.frombuffer(r["keys"], np.uint64)).astype(np.uint8).tobytes()) for r in table.collect()],
+                                  "bucket int, keys binary, classes binary")
+    both, one = (brown.contexts(found, known, keys, dealt(keys).astype(np.uint8), 4, k).collect() for k in (True, False))
+    want = np.zeros((brown.CLASSES, brown.CLASSES), int)
+    seen = brown.Hashes()
+    for d, t in enumerate(rng_texts(60) + ODD):
+        if zlib.crc32(str(d).encode()) % 3:
+            of = dealt(np.array([0, *seen.of(words(t)).tolist(), 0], np.uint64)).astype(int)
+            np.add.at(want, (of[:-1], of[1:]), 1)
+    for rows in (both, one):
+        assert (sum(np.frombuffer(r["table"], np.int64) for r in rows).reshape(want.shape) == want).all()
+    times = [sum(np.frombuffer(r["counts"], np.uint32).sum() for r in rows) for rows in (both, one)]
+    assert 0 < len(keys) < sum(r["distinct"] for r in table.collect()) and times == [2 * want.sum(), want.sum()]
+
+
 def test_rare_words_get_the_class_of_their_contexts(spark):
     rng = random.Random(8)
     rare = [f"{'ab'[k % 2]}{k}zz" for k in range(600)]  # one ending, two kinds of contexts, each word far below the share of a unit
