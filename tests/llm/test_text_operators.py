@@ -258,6 +258,16 @@ def test_frequent_units_travel_with_the_tasks(spark, monkeypatch):
     assert len(found) == 40 and all(r.n_units == 4 for r in found) and sum(r.n_removed for r in found) == 160 - 21
 
 
+def test_runs_below_the_floor_have_a_query(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(30)) + ".\n"
+    texts = ["Only here.\nshort line\nonly here too.\n" + long, "SHORT  line\nnew words!\n", long + "last", None, "", "nothing shared"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    least = {name: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) for name in ("op5_line_dedup", "repeated_line_runs")}
+    assert [(r[0], r[4], r[5]) for r in least["op5_line_dedup"]] == [(0, 30, 0), (2, 30, 1)]
+    assert [(r[0], r[4], r[5]) for r in least["repeated_line_runs"]] == [(0, 2, 0), (0, 30, 0), (1, 2, 1), (2, 30, 1)]
+    assert set(least["op5_line_dedup"]) < set(least["repeated_line_runs"])
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa"
     changed = item.replace("echo", "other").replace("lima", "else")
