@@ -28,6 +28,8 @@ WINDOW = LENGTH - HEAD + 1
 SLICE, SAMPLED, FILTER_BITS = 1 << 21, 64, 27
 #: Rows of a slice at most: they are numbered in 16 bits.
 ROWS = 50_000
+#: Bytes of text whose anchors make up a bucket on average; a session that shuffles into more parts has smaller buckets.
+BUCKET = 12 << 20
 #: Bytes that a string has in common with another on one side of its anchor at least, besides the head.
 SIDE = (LENGTH - HEAD + 1) // 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -118,6 +120,12 @@ def _pieces(text: bytes) -> list[tuple[int, bytes]]:
     return [(0, text)] if len(text) <= step else [(s, text[s:s + step + LENGTH - 1]) for s in range(0, len(text) - LENGTH + 1, step)]
 
 
+def parts(docs: DataFrame) -> int:
+    """Buckets of anchors and groups of documents, and tasks that they go to: what one holds is bounded, however many documents there are."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(buckets(docs.sparkSession), -(-total // BUCKET))
+
+
 def splitters(docs: DataFrame, n: int) -> np.ndarray:
     """n - 1 heads that part a sample of all anchors evenly; a frequent head appears more than once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,23 +244,24 @@ def judged(dealt: DataFrame, cuts: np.ndarray, n: int) -> DataFrame:
         return _frame(done + [(b, 10 + s, x, y, b"") for s in (GONE, OPEN, EARLIER) for pick in [keep & (status == s)]
                        for b, (x, y) in cut([doc[pick], (head ^ around)[pick]], _group(doc[pick], n), n)])
 
-    return dealt.groupBy("bucket").applyInPandas(run, _BLOB)
+    return dealt.repartition(n, "bucket").groupBy("bucket").applyInPandas(run, _BLOB)
 
 
-def flagged(docs: DataFrame, news: DataFrame) -> DataFrame:
-    """(bucket, doc_id, bytes, size, sha): every document by group; the bytes only of those in ``news``.
+def flagged(docs: DataFrame, news: DataFrame, n: int) -> DataFrame:
+    """(bucket, doc_id, bytes, size, sha): every document by one of ``n`` groups; the bytes only of those in ``news``.
 
     Their ids set bits of a filter of fixed size; what it lets through by chance is moved in vain, no more.
     """
-    spark, n, size = docs.sparkSession, buckets(docs.sparkSession), 1 << FILTER_BITS
+    spark, size = docs.sparkSession, 1 << FILTER_BITS
     n_parts = 64
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(size, bool)
+        on = np.zeros(size >> 3, np.uint8)
         for batch in batches:
             for raw in batch.column("docs").to_pylist():
-                on[(mixed(np.frombuffer(raw, np.uint64)) % np.uint64(size)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), pa.array([x.tobytes() for x in np.packbits(on).reshape(n_parts, -1)], pa.binary())], names=["part", "bits"])
+                at = mixed(np.unique(np.frombuffer(raw, np.uint64))) % np.uint64(size)
+                np.bitwise_or.at(on, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), pa.array([x.tobytes() for x in on.reshape(n_parts, -1)], pa.binary())], names=["part", "bits"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [group["part"].iat[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]]).tobytes()]})
@@ -318,7 +327,8 @@ def compared(texts: DataFrame, news: DataFrame, n: int) -> DataFrame:
             rows.append((b, 30, ids.tobytes(), part.tobytes(), b""))
         return _frame(rows)
 
-    return texts.groupBy("bucket").cogroup(news.where(f"kind IN ({10 + OPEN}, {10 + EARLIER})").groupBy("bucket")).applyInPandas(run, _BLOB)
+    news = news.where(f"kind IN ({10 + OPEN}, {10 + EARLIER})").repartition(n, "bucket")
+    return texts.repartition(n, "bucket").groupBy("bucket").cogroup(news.groupBy("bucket")).applyInPandas(run, _BLOB)
 
 
 def _chunks(docs: Iterable, whole: Iterable[bytes]) -> Iterator[tuple[list, list[bytes]]]:
@@ -352,7 +362,7 @@ def settled(strings: DataFrame, n: int) -> DataFrame:
         gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         return _frame(done + [(b, 20, x, y, b"") for b, (x, y) in cut([doc[gone], one[gone]], _group(doc[gone], n), n)])
 
-    return strings.groupBy("bucket").applyInPandas(run, _BLOB)
+    return strings.repartition(n, "bucket").groupBy("bucket").applyInPandas(run, _BLOB)
 
 
 def spans(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,11 +391,11 @@ def removed(docs: DataFrame) -> DataFrame:
     strings are judged on the input.  Null and empty texts have no bytes.  Rows that share an id
     don't count against each other; a null id is neither removed from nor counted.
     """
-    n = buckets(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = parts(docs)
     cuts = splitters(docs, n)
     news = stored(judged(anchors(docs, cuts, n), cuts, n), "suffix-news")
-    strings = compared(flagged(docs, news.where(f"kind <> {10 + GONE}")), news, n)
+    strings = compared(flagged(docs, news.where(f"kind <> {10 + GONE}"), n), news, n)
     gone = stored(news.where(f"kind = {10 + GONE}").union(settled(strings, n)), "suffix-gone")
     dropped(news)
 
@@ -417,5 +427,5 @@ def removed(docs: DataFrame) -> DataFrame:
             out.append((doc, size, int((end - begin).sum()), len(begin), hashlib.sha256(b"".join(kept)).hexdigest(), begin.tolist(), end.tolist()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends"]).astype({"doc_id": "Int64"})
 
-    return flagged(docs, gone).groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInPandas(
+    return flagged(docs, gone, n).repartition(n, "bucket").groupBy("bucket").cogroup(gone.repartition(n, "bucket").groupBy("bucket")).applyInPandas(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>")

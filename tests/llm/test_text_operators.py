@@ -147,6 +147,20 @@ def brute_components(texts, width, percent):
     return sorted((i, len(sets[i]), find(i)) for i in range(len(texts)))
 
 
+def test_buckets_of_suffixes_grow_with_the_text_not_with_the_session(spark, monkeypatch):
+    texts = rng_texts(60, seed=8, words=60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(tuple(r)[:5] for r in suffixes.removed(df).collect())
+    monkeypatch.setattr(suffixes, "BUCKET", 400)
+    n = suffixes.parts(df)
+    assert n >= sum(len(t.encode()) for t in texts) / 400 > 8 and n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert suffixes.parts(df.limit(0)) == 8
+    small = suffixes.removed(df)
+    assert sorted(tuple(r)[:5] for r in small.collect()) == whole and any(r[2] for r in whole)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"hashpartitioning\(bucket#\d+, {n}\), REPARTITION_BY_NUM", plan)) >= 2
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_similarity_components_against_brute_force(spark, width, percent):
     near = "one two three four five six seven eight nine ten " * 8
