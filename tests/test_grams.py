@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -90,3 +91,34 @@ def test_positions_equal_those_of_the_row_by_row_form_and_no_gram_of_a_message_t
     assert len(some) < len(got) and all(got[k].hits == hits for k, hits in some.items())
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "hashpartitioning(msg_id" not in plan
+
+
+def test_only_packed_grams_travel(spark, monkeypatch):
+    monkeypatch.setattr(grams, "LEAST", 20)
+    rows = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    terms = f.term_table(rows, "doc_id", "text", "text", with_bias=True)
+    want = {(r.kind, r.gram): (r.df, r.total) for r in terms.counts().groupBy("kind", "gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).collect()}
+    assert {(r.kind, r.gram): (r.df, r.total) for r in f.document_frequency(terms).collect()} == want
+    low = {"word": 2, "char": 3}
+    assert {(r.kind, r.gram) for r in f.vocabulary(terms, low).collect()} == {k for k, (df, _) in want.items() if df >= low.get(k[0], 3)}
+    vocab = f.document_frequency(terms).select("kind", "gram", F.lit(1.5).alias("idf"), F.length("gram").cast("double").alias("w"))
+    z = md.score(terms, md.Model(vocab, len(want)))
+    sums = {r.doc_id: r.z for r in terms.known(vocab, ("w",)).groupBy("doc_id").agg(F.sum(F.col("x") * F.col("w")).alias("z")).collect()}
+    got = {r.doc_id: r.z for r in z.collect()}
+    assert got.keys() == sums.keys() == {k for k, _ in TEXTS} and all(np.isclose(got[k], sums[k]) for k in sums)
+    for df in (f.vocabulary(terms), z, terms.known(vocab)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "gram#" not in "".join(regex.findall(r"Exchange [^\n]*", plan)) and "Join" not in plan
+
+
+def test_packed_grams_come_back_whole():
+    assert all(chr(c).isspace() == grams.classes()[1][c] for c in range(len(grams.classes()[1])))  # what str.split goes by
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 40, 300):
+        names = sorted("".join(rng.choice(list("abé漢 "), rng.integers(0, 6))) for _ in range(size))
+        part, blob = grams.packed(pa.array(names), np.zeros(size, np.int8), 3, [np.arange(size)])
+        found = [grams.loaded(b) for b in blob]
+        assert sorted(zip(grams.unpacked(found).to_pylist(), np.concatenate([x[4] for x in found]).tolist(), strict=True)) == sorted(zip(names, range(size), strict=True))
+        assert len(set(part)) == len(part)
+    for column in (np.array([], np.int64), np.arange(5), np.array([7, 7, -7, 7])):
+        assert grams.uncoded(*grams.coded(column)).tolist() == column.tolist()
