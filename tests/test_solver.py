@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from siftwire.operators import grams
 from siftwire.operators import metrics as mt
 from siftwire.operators import solver
 from siftwire.plans import jobs
@@ -85,3 +86,35 @@ def test_both_solvers_train_alike(spark):
     a, b = (np.array([m[k] for k in sorted(models[0])]) for m in models)
     assert a @ b / math.sqrt((a @ a) * (b @ b)) > 0.995
     assert reports[0] == reports[1]
+
+
+def test_blocks_multiply_like_their_cells():
+    rng = np.random.default_rng(4)
+    row, idx = np.divmod(np.unique(rng.integers(0, 40 * 500, 900)), 500)
+    row, idx = row[row != 7], idx[row != 7]  # a row without cells
+    kind, tf, idf = (idx > 300).astype(np.int8), rng.integers(1, 5, len(row)), 1 + (idx % 7) / 10
+    raw = (np.log(tf) + 1) * idf
+    x = raw / np.sqrt(np.bincount(row * 2 + kind, raw * raw))[row * 2 + kind]
+    mixed = rng.permutation(len(row))
+    for more in ((), (tf[mixed], idf[mixed], kind[mixed])):
+        known, found = grams.block(40, row[mixed], idx[mixed], x[mixed], *more)
+        assert grams.indices(known).tolist() == np.unique(idx).tolist()
+        cells, place = grams.Cells(found, 40), np.searchsorted(np.unique(idx), idx)
+        by_place, by_row = rng.normal(size=len(np.unique(idx))), rng.normal(size=40)
+        assert np.allclose(cells.sums(by_place), np.bincount(row, x * by_place[place], 40))
+        assert np.allclose(cells.slopes(by_row), np.bincount(place, x * by_row[row]))
+
+
+def test_rounds_leave_no_tables_and_rows_without_features_count(spark, tmp_path):
+    x, y, weight = problem()
+    x[:20] = 0
+    rows = spark.createDataFrame([(i, int(y[i]), float(weight[i])) for i in range(len(y))], "msg_id long, label int, weight double")
+    cells = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "msg_id long, idx long, x double")
+    table, bias = solver.fit(cells, rows, str(tmp_path), c=10.0, max_iter=40)
+    w = np.zeros(x.shape[1] + 1)
+    for r in table.collect():
+        w[r.idx] = r.w
+    w[-1] = bias
+    assert objective(w, x, y, weight, 10.0) - objective(least(x, y, weight, 10.0), x, y, weight, 10.0) < 1e-5
+    left = [p.name for p in tmp_path.iterdir()]
+    assert sum(n.startswith("state-") for n in left) == 1 and sum(n.startswith("moving-") for n in left) == 1
