@@ -122,3 +122,42 @@ def test_packed_grams_come_back_whole():
         assert len(set(part)) == len(part)
     for column in (np.array([], np.int64), np.arange(5), np.array([7, 7, -7, 7])):
         assert grams.uncoded(*grams.coded(column)).tolist() == column.tolist()
+
+
+def test_scores_and_means_folded_at_the_texts_equal_those_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(grams, "LEAST", 20)
+    monkeypatch.setattr(grams, "ROWS", 7)
+    texts = ["free cash, free-cash now", "a.b a b", "a.b.a c b.a a.b.c", "x.x x", "", None, "é漢 🙂🙂x ٣ é漢", "aaaa  aaaa\tb-a-b-a end", "... now ... now", "free " * 30 + "Free 9 now"]
+    rows = light(spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string"))
+    model = derived_model(f.with_idf(f.vocabulary(f.term_table(rows), {"word": 1, "char": 1}), rows).where("gram <> 'now'"))
+    features, there = x.feature_table(rows, model), x.Pointing(rows, model, chars="norm")
+    scores = x.word_scores(features)
+    got, want = ({(r.msg_id, r.pos): r.score for r in df.collect()} for df in (x.word_scores(there), scores))
+    assert got.keys() == want.keys() and len(got) > 40 and all(np.isclose(got[k], want[k]) for k in want)
+    folded = x.word_means(rows, x.word_scores(there, rows=False))
+    got, means = ({(r.msg_id, r.word): r["mean"] for r in df.collect()} for df in (folded, x.word_means(rows, scores)))
+    assert got.keys() == means.keys() and all(np.isclose(got[k], means[k]) for k in means)
+    assert "hits" not in folded._jdf.queryExecution().executedPlan().toString()
+    spans = {(r.msg_id, r.start, r.end, r.text): r.score for r in x.highlights(rows, folded).collect()}
+    norm = {r.token: r.norm.split() for r in x.with_normalised(x.text_tokens(rows), "token").collect()}
+    want = {}
+    for r in x.text_tokens(rows).collect():
+        s = [means[r.msg_id, w] for w in norm[r.token] if (r.msg_id, w) in means]
+        if s and abs(sum(s)) >= x.MIN_SPAN:
+            want[r.msg_id, r.start, r.end, r.token] = sum(s)
+    assert spans.keys() == want.keys() and len(spans) > 10 and all(abs(spans[k] - want[k]) < 6e-4 for k in want)
+
+
+def test_source_words_need_the_first_place_of_a_word_only(spark, monkeypatch):
+    monkeypatch.setattr(grams, "LEAST", 20)
+    rows = light(spark.createDataFrame([(1, "free cash " * 40), (2, "cash now"), (3, "a.b a b a.b"), (3, "b a.b"), (4, "")], "msg_id long, text string"))
+    model = derived_model(f.with_idf(f.vocabulary(f.term_table(rows), {"word": 1, "char": 1}), rows))
+    whole, first = ({(r.msg_id, r.kind, r.gram): r.hits for r in x.feature_table(rows, model, first_of_word=some).collect()} for some in (False, True))
+    words = {1: ["free", "cash"] * 40, 2: ["cash", "now"]}
+    assert whole.keys() == first.keys() and max(map(len, whole.values())) >= 40
+    for k, hits in whole.items():
+        if k[0] in words:
+            kept = [words[k[0]][p] for p in first[k]]
+            assert len(set(kept)) == len(kept) and set(kept) == {words[k[0]][p] for p in hits}
+        else:
+            assert first[k] == hits
