@@ -132,3 +132,11 @@ def test_features_of_a_record_are_written_without_a_shuffle_of_grams(spark, tmp_
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # only a message's top features are placed by id
     assert out.count() == 60
+
+
+def test_rules_are_not_planned_with_the_joins_of_a_record(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"free prize {k % 7} call now") for k in range(30)], "msg_id long, text string")
+    model = derived_model(f.with_idf(f.vocabulary(f.message_terms(rows)), rows))
+    out = jobs.analyse(rows, model, work_dir=str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.read.parquet(f"{tmp_path}/records").count() == 30 and "RLIKE" not in plan and len(plan) < 100_000
